@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import repeats, simhash
 
 QUERIES = {
+    "op1_repeats": repeats.op1_repeats,
     "op8_simhash": simhash.op8_simhash,
 }
 
