@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import repeats, simhash
+from . import packing, repeats, simhash
 
 QUERIES = {
     "op1_repeats": repeats.op1_repeats,
+    "op6_packing": packing.op6_packing,
     "op8_simhash": simhash.op8_simhash,
 }
 
