@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing, repeats, simhash
+from . import packing, repeats, simhash, tokenfiles
 
 QUERIES = {
     "op1_repeats": repeats.op1_repeats,
     "op6_packing": packing.op6_packing,
     "op8_simhash": simhash.op8_simhash,
+    "op10_tokenfiles": tokenfiles.op10_tokenfiles,
 }
 
 ORACLE_SQL: dict[str, str] = {}
