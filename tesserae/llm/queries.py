@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import packing, repeats, simhash, tokenfiles
+from . import decontaminate, packing, repeats, simhash, tokenfiles
 
 QUERIES = {
     "op1_repeats": repeats.op1_repeats,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_packing": packing.op6_packing,
     "op8_simhash": simhash.op8_simhash,
     "op10_tokenfiles": tokenfiles.op10_tokenfiles,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_decontaminate": decontaminate.OP5_SQL,
+}
