@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, packing, repeats, simhash, tokenfiles
+from . import decontaminate, language, packing, quality, repeats, simhash, tokenfiles
 
 QUERIES = {
     "op1_repeats": repeats.op1_repeats,
     "op4_language": language.op4_language,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_packing": packing.op6_packing,
+    "op7_quality": quality.op7_quality,
     "op8_simhash": simhash.op8_simhash,
     "op10_tokenfiles": tokenfiles.op10_tokenfiles,
 }
