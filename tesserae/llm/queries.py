@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, packing, quality, repeats, simhash, tokenfiles
+from . import decontaminate, language, packing, quality, repeats, simhash, tokenfiles, toxicity
 
 QUERIES = {
     "op1_repeats": repeats.op1_repeats,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_packing": packing.op6_packing,
     "op7_quality": quality.op7_quality,
     "op8_simhash": simhash.op8_simhash,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_tokenfiles": tokenfiles.op10_tokenfiles,
 }
 

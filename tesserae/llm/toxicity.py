@@ -1,9 +1,8 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are a document's distinct lower-cased words, their stems (first five bytes of
-longer words) and pairs of neighbouring words' stems are left to the machine: next to
-a weight, each term has a short vector, and the product of two terms' vectors is the
-weight of their meeting in one document. So an insult near a mention of a group can
+Terms are a document's distinct lower-cased words and their stems (the first four to
+six bytes of longer words). Next to a weight, each term has a short vector, and the
+product of two terms' vectors is the weight of their meeting in one document. So an insult near a mention of a group can
 count for more than both alone. A term that was never seen in fitting adds nothing.
 
 Only text is an input. The sample that is fitted is bounded (SAMPLE documents of each
@@ -29,7 +28,7 @@ from ._text import LETTER, LOWER, prefix_sums, range_hash, runs, text_chunks
 
 #: Documents of a label that are fitted, at most and in expectation.
 SAMPLE = 6000
-BITS, FACTORS, STEM = 18, 6, 5
+BITS, FACTORS, STEMS = 18, 6, (4, 5, 6)
 THRESHOLD = 0.7
 
 
@@ -40,10 +39,12 @@ def terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     prefix = prefix_sums(low)
     doc = np.searchsorted(offs, s, "right") - 1
     word = range_hash(prefix, s, e)
-    long = e - s > STEM
-    stem = range_hash(prefix, s[long], s[long] + STEM) * np.uint64(0x9E3779B97F4A7C15)
-    shift = np.uint64(64 - BITS)
-    key = np.concatenate([doc, doc[long]]) << BITS | np.concatenate([word >> shift, stem >> shift]).astype(np.int64)
+    docs, hashes = [doc], [word]
+    for n in STEMS:
+        long = e - s > n
+        docs.append(doc[long])
+        hashes.append(range_hash(prefix, s[long], s[long] + n) * np.uint64(0x9E3779B97F4A7C15))
+    key = np.concatenate(docs) << BITS | (np.concatenate(hashes) >> np.uint64(64 - BITS)).astype(np.int64)
     key = np.unique(key)
     return key >> BITS, key & ((1 << BITS) - 1)
 
@@ -56,7 +57,7 @@ def _features(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
 class Machine:
     """bias + sum w_i + sum over pairs <v_i, v_j>, over a document's terms."""
 
-    def __init__(self, rows: Rows, rounds: int = 12, rate: float = 0.1, seed: int = 11):
+    def __init__(self, rows: Rows, rounds: int = 10, rate: float = 0.3, l1: float = 12.0, l2: float = 0.1, seed: int = 11):
         y = np.asarray(rows.labels, np.float64)
         size = 1 << BITS
         self.w, self.v = np.zeros(size, np.float32), np.zeros((size, FACTORS), np.float32)
@@ -64,39 +65,44 @@ class Machine:
         self.bias, self.constant = 0.0, share if not y.size or share in (0.0, 1.0) else None
         if self.constant is not None:
             return
-        # terms of one document only say nothing about others
+        # weights follow the regularised leader with an L1 threshold, so a term that met a
+        # label by chance stays at zero; only terms with a weight get a vector
         seen = np.bincount(rows.flat, minlength=size) >= 2
         rng = np.random.default_rng(seed)
-        w, v = np.zeros(size), np.where(seen[:, None], rng.normal(0, 0.01, (size, FACTORS)), 0)
-        gw, gv, gb, bias = np.full(size, 1e-4), np.full((size, FACTORS), 1e-4), 1e-4, float(np.log(share / (1 - share)))
+        w, v = np.zeros(size), rng.normal(0, 0.01, (size, FACTORS))
+        z, nw, gv, gb, bias = np.zeros(size), np.zeros(size), np.full((size, FACTORS), 1.0), 1.0, float(np.log(share / (1 - share)))
         weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))
         for _ in range(rounds):
             order = rng.permutation(len(rows))
-            for at in range(0, order.size, 64):
-                own = order[at : at + 64]
+            for at in range(0, order.size, 32):
+                own = order[at : at + 32]
                 term, row = rows.take(own)
                 used = seen[term]
                 term, row = term[used], row[used]
-                total = np.zeros((own.size, FACTORS))
-                for k in range(FACTORS):
-                    total[:, k] = np.bincount(row, v[term, k], own.size)
-                square = np.bincount(row, (v[term] ** 2).sum(axis=1), own.size)
-                out = bias + np.bincount(row, w[term], own.size) + 0.5 * ((total**2).sum(axis=1) - square)
-                p = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
-                g = (p - y[own]) * weight[own] / own.size
+                live = w[term] != 0
+                hot, hot_row = term[live], row[live]
+                total = np.stack([np.bincount(hot_row, v[hot, k], own.size) for k in range(FACTORS)], axis=1)
+                square = np.bincount(hot_row, (v[hot] ** 2).sum(axis=1), own.size)
+                out = bias + np.bincount(hot_row, w[hot], own.size) + 0.5 * ((total**2).sum(axis=1) - square)
+                g = (1 / (1 + np.exp(-np.clip(out, -30, 30))) - y[own]) * weight[own]
                 ids, back = np.unique(term, return_inverse=True)
-                dw = np.bincount(back, g[row]) + 1e-5 * w[ids]
-                gw[ids] += dw**2
-                w[ids] -= rate * dw / np.sqrt(gw[ids])
-                part = g[row][:, None] * (total[row] - v[term])
-                for k in range(FACTORS):
-                    dv = np.bincount(back, part[:, k]) + 1e-4 * v[ids, k]
-                    gv[ids, k] += dv**2
-                    v[ids, k] -= 0.3 * rate * dv / np.sqrt(gv[ids, k])
+                dw = np.bincount(back, g[row], ids.size)
+                grown = nw[ids] + dw**2
+                z[ids] += dw - (np.sqrt(grown) - np.sqrt(nw[ids])) / rate * w[ids]
+                nw[ids] = grown
+                w[ids] = np.where(np.abs(z[ids]) > l1, -(z[ids] - np.sign(z[ids]) * l1) / ((1 + np.sqrt(grown)) / rate + l2), 0)
+                if hot.size:
+                    ids, back = np.unique(hot, return_inverse=True)
+                    part = g[hot_row][:, None] * (total[hot_row] - v[hot])
+                    for k in range(FACTORS):
+                        dv = np.bincount(back, part[:, k], ids.size) + 1e-3 * v[ids, k]
+                        gv[ids, k] += dv**2
+                        v[ids, k] -= 0.1 * dv / np.sqrt(gv[ids, k])
                 db = g.sum()
                 gb += db**2
-                bias -= rate * db / np.sqrt(gb)
-        self.w, self.v, self.bias = w.astype(np.float32), np.where(seen[:, None], v, 0).astype(np.float32), bias
+                bias -= 0.1 * db / np.sqrt(gb)
+        v[w == 0] = 0
+        self.w, self.v, self.bias = w.astype(np.float32), v.astype(np.float32), bias
         self.square = (self.v**2).sum(axis=1)
 
     def score(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
