@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, packing, quality, repeats, simhash, spotsigs, tokenfiles, toxicity
+from . import decontaminate, language, packing, quality, repeats, reshard, simhash, spotsigs, tokenfiles, toxicity
 
 QUERIES = {
     "op1_repeats": repeats.op1_repeats,
     "op2_spotsigs": spotsigs.op2_spotsigs,
+    "op3_reshard": reshard.op3_reshard,
     "op4_language": language.op4_language,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_packing": packing.op6_packing,
