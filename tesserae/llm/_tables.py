@@ -13,12 +13,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, which all executors share.
+    """A fresh folder under spark.checkpoint.dir, which all executors share; it goes with the session.
 
     Only where the session has no such setting (tests, one machine) is one made.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/tesserae"
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
 
 def settle(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> tuple[DataFrame, str]:

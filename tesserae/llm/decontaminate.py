@@ -25,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._tables import read, settle
-from ._text import LOWER, WORD, mix, prefix_sums, range_hash, runs, text_chunks
+from ._text import WORD, mix, prefix_sums, range_hash, runs, text_chunks
 
 WORDS, SHARE = 5, 0.8
 #: Shingle hashes of items held by a task at once (8 bytes each, and their texts).
@@ -138,23 +139,27 @@ class Items:
                     yield d, k, shared
 
 
-def contained(docs: DataFrame, items: DataFrame, share: float = SHARE, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """(doc_col, item_col, n_shared, n_item, containment) where containment >= share."""
-    spark = docs.sparkSession
-    low = F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text")
-    asked, _ = settle(items.select(F.col(item_col).alias("item"), low), "items")
+def item_blocks(items: DataFrame, share: float, item_col: str, text_col: str, block: int) -> Iterator[Broadcast]:
+    """The items in blocks of a bounded size, each as a broadcast `Items`."""
+    spark = items.sparkSession
+    asked, _ = settle(items.select(F.col(item_col).alias("item"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text")), "items")
     total = asked.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     blocks = max(1, math.ceil(total / (block * 4)))
-    item_type, doc_type = (f.schema[c].dataType.simpleString() for f, c in ((items, item_col), (docs, doc_col)))
-    texts = docs.select(F.col(doc_col).alias("doc"), low)
-    out = None
     for k in range(blocks):
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
         held = part.orderBy("item", "text").toArrow().to_pydict()
-        shared_items = spark.sparkContext.broadcast(Items(held["item"], held["text"], share))
+        yield spark.sparkContext.broadcast(Items(held["item"], held["text"], share))
 
-        def scan(batches: Iterator[pa.RecordBatch], shared_items=shared_items) -> Iterator[pa.RecordBatch]:
-            known = shared_items.value
+
+def contained(docs: DataFrame, items: DataFrame, share: float = SHARE, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """(doc_col, item_col, n_shared, n_item, containment) where containment >= share."""
+    item_type, doc_type = (f.schema[c].dataType.simpleString() for f, c in ((items, item_col), (docs, doc_col)))
+    texts = docs.select(F.col(doc_col).alias("doc"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    out = None
+    for held in item_blocks(items, share, item_col, text_col, block):
+
+        def scan(batches: Iterator[pa.RecordBatch], held: Broadcast = held) -> Iterator[pa.RecordBatch]:
+            known = held.value
             names = pa.array(known.names) if known.names else None
             for batch in batches:
                 rows = []
@@ -170,6 +175,24 @@ def contained(docs: DataFrame, items: DataFrame, share: float = SHARE, doc_col:
     return out.select(F.col("doc").alias(doc_col), F.col("item").alias(item_col), "n_shared", "n_item", share_of)
 
 
+def without_items(docs: DataFrame, items: DataFrame, share: float = SHARE, item_col: str = "item_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """docs without those that hold the share of any item; judged in the scan, without a join."""
+    out = docs.withColumn("__low", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
+    for held in item_blocks(items, share, item_col, text_col, block):
+
+        def scan(batches: Iterator[pa.RecordBatch], held: Broadcast = held) -> Iterator[pa.RecordBatch]:
+            known = held.value
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for a, _, data, offs in text_chunks(batch, "__low"):
+                    clean[[a + d for d, _, _ in known.search(data, offs)]] = False
+                yield batch.filter(pa.array(clean))
+
+        out = out.mapInArrow(scan, fields)
+    return out.drop("__low")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 

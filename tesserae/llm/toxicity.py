@@ -123,20 +123,22 @@ def fit(docs: DataFrame, labels: DataFrame, usable: F.Column, sample: int = SAMP
     return Machine(Rows(features, np.array(y)))
 
 
-def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, score) by a model with score(bytes, offsets)."""
+def score(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", name: str = "score") -> DataFrame:
+    """The columns `keep` and a score by a model with score(bytes, offsets); one pass, without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[id_col].dataType.simpleString()
+    kept = [c for c in keep if c != name]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for a, b, data, offs in text_chunks(batch, "text", 1 << 19):
+            for a, b, data, offs in text_chunks(batch, "__text", 1 << 19):
                 out[a:b] = known.score(data, offs)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], [id_col, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], [*kept, name])
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(scan, f"`{id_col}` {kind}, score double")
+    rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").cast("string").alias("__text"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(scan, f"{fields}, `{name}` double")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
