@@ -42,7 +42,7 @@ def normalize(hist: Column) -> Column:
 
 def quantile(hist: Column, q: float, low: float, high: float, bins: int = BINS) -> Column:
     """Interpolated quantile: the first bin whose cumulated weight reaches q of the sum."""
-    width = (high - low) / (bins - 1)
+    width = (high - low) / bins
     goal = total(hist) * q
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("out"), F.lit(0).alias("b"))
 
