@@ -31,6 +31,9 @@ le les des du et est une dans qui que pour pas sur au avec ce il elle sont ne ou
 der die das und den von zu mit sich dem ist ein eine nicht auf als auch es an im""".split()
 #: A text of fewer spots also gets its pairs of neighbouring words.
 FEW = 8
+#: Common words in a row that anchor one chain; of a longer run, every next one is taken as content
+#: (an unbounded repetition would recurse once a word in Java's matcher).
+RUN = 16
 
 
 def with_signatures(df: DataFrame, text_col: str, name: str, anchors: list[str] = ANCHORS) -> DataFrame:
@@ -42,7 +45,7 @@ def with_signatures(df: DataFrame, text_col: str, name: str, anchors: list[str]
     text = F.coalesce(F.col(text_col), F.lit(""))
     low = F.concat(F.regexp_replace(F.lower(text), "[^\\p{L}]+", " "), F.lit(" "))
     # each part: any common words, then one word (a content word, but at the text's end)
-    part = F.transform(F.regexp_extract_all(low, F.lit(f"((?:(?:{stop}) )*)([^ ]+) "), F.lit(0)), lambda x: F.rtrim(x))
+    part = F.transform(F.regexp_extract_all(low, F.lit(f"((?:(?:{stop}) ){{0,{RUN}}})([^ ]+) "), F.lit(0)), lambda x: F.rtrim(x))
     df = df.withColumn(f"__{name}", part)
     parts = F.col(f"__{name}")
     zipped = F.zip_with(parts, F.slice(parts, 2, 1 << 30), lambda x, y: F.struct(F.split(x, " ").alias("x"), F.substring_index(y, " ", -1).alias("y")))
