@@ -66,14 +66,15 @@ def per_component_seeded(edges: DataFrame, seeds: DataFrame, kernel: Callable, h
         return df.join(comp, "node").select(F.col("node").alias("u"), F.col("node").alias("v"), F.col(value).cast("double").alias("w"), "component", F.lit(kind).alias("kind"))
 
     every = held.select("u", "v", "w", "component", "kind").union(told(seeds, "label", 1))
-    if heights is not None:
+    tall = heights is not None
+    if tall:
         every = every.union(told(heights, "height", 2))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         part = {k: pdf[pdf["kind"] == k] for k in (0, 1, 2)}
         seed = {int(n): int(x) for n, x in zip(part[1]["u"], part[1]["w"], strict=True)}
         args = [_edges(part[0]), seed]
-        if heights is not None:
+        if tall:
             args.append(dict(zip(part[2]["u"].tolist(), part[2]["w"].tolist(), strict=True)))
         return _frame(kernel(*args))
 

@@ -99,14 +99,17 @@ def sql(body: str, **extra: str) -> str:
 
     known = {**SQL, **extra}
     order: list[str] = []
+    open_: set[str] = set()
 
     def need(text: str) -> None:
         for name in known:
-            if name not in order and re.search(rf"\b{name}\b", text):
+            if name not in open_ and re.search(rf"\b{name}\b", text):
+                open_.add(name)
                 need(known[name])
-                if name not in order:
-                    order.append(name)
+                order.append(name)
 
     need(body)
+    if not order:
+        return body
     recursive = any(" UNION " in known[n] and re.search(rf"\b{n}\b", known[n]) for n in order)
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(f"{n} AS ({known[n]})" for n in order) + f"\n{body}"
