@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import histogram
 from ..operators import features as fe
 from ..operators import graph as ga
-from ..operators import grid, images, kernels, lookup, partition, rag, skeleton, solve
+from ..operators import dense, grid, images, kernels, lookup, partition, rag, skeleton, solve
+from ..sources import volumes
 from . import views
+from .rounds import shared_path
+from .two_pass import two_pass
 from .views import sql
 
 FLAGSHIP = "rag_features"
@@ -381,3 +384,59 @@ add("cell_bounds", lambda s, d: images.cell_bounds(views.seg(s, d))[0].select("y
 add("cell_geometry", lambda s, d: images.cell_geometry(views.seg(s, d)).select("size", "y", "x"), "SELECT count(*) AS size, round(avg(2 * y + (CASE WHEN axis = 'y' THEN 1 ELSE 0 END)), 6) AS y, round(avg(2 * x + (CASE WHEN axis = 'x' THEN 1 ELSE 0 END)), 6) AS x FROM seg_e GROUP BY u, v")
 add("cell_mask", lambda s, d: images.cell_mask(views.seg(s, d), (1, 2)), "SELECT 2 * y + (CASE WHEN axis = 'y' THEN 1 ELSE 0 END) AS y, 2 * x + (CASE WHEN axis = 'x' THEN 1 ELSE 0 END) AS x, 1 AS dim FROM seg_e UNION ALL SELECT 2 * y, 2 * x, 2 FROM img")
 add("cell_features", lambda s, d: images.cell_features(views.seg(s, d)).drop("cell"), "SELECT u, v, count(*) AS size, round(sqrt((max(ty) - min(ty)) * (max(ty) - min(ty)) + (max(tx) - min(tx)) * (max(tx) - min(tx))), 6) AS span, round(least(any_value(a.n), any_value(b.n)) / greatest(any_value(a.n), any_value(b.n)), 6) AS size_ratio FROM (SELECT u, v, 2 * y + (CASE WHEN axis = 'y' THEN 1 ELSE 0 END) AS ty, 2 * x + (CASE WHEN axis = 'x' THEN 1 ELSE 0 END) AS tx FROM seg_e) e JOIN n a ON a.label = e.u JOIN n b ON b.label = e.v GROUP BY u, v", n="SELECT label, count(*) AS n FROM seg GROUP BY label")
+
+
+# blocked form
+
+FULL = grid.Blocking([0, 0], [500, 64], [100, 24])
+
+
+def _blocks(s, d):
+    return dense.to_blocks(views.seg(s, d).where("y < 500"), FULL)
+
+
+add("dense_region_graph", lambda s, d: dense.region_graph(_blocks(s, d)), "SELECT DISTINCT u, v FROM seg_e WHERE y + (CASE WHEN axis = 'y' THEN 1 ELSE 0 END) < 500")
+add("dense_edge_features", lambda s, d: dense.edge_features(_blocks(s, d)), f"SELECT u, v, {MOM} FROM (SELECT u, v, unnest([vu, vv]) AS value FROM seg_e WHERE y + (CASE WHEN axis = 'y' THEN 1 ELSE 0 END) < 500) GROUP BY u, v")
+
+# files: written to the shared folder and read back
+
+
+def _roi(s, d):
+    path = shared_path(s, "volume")
+    volumes.write_volume(views.vol(s, d), path, VOL_BLOCKS)
+    return volumes.read_volume(s, path, (0, 20, 10), (3, 70, 40))
+
+
+def _graph_io(s, d):
+    path = shared_path(s, "graph")
+    volumes.write_graph(_nodes(views.g_sparse(s, d)), views.g_sparse(s, d), path)
+    return volumes.read_dense_graph(s, path)[1]
+
+
+def _overlap_io(s, d):
+    path = shared_path(s, "overlaps")
+    volumes.write_overlaps(OV(s, d), path)
+    return volumes.read_overlaps(s, path, 100, 200)
+
+
+def _block_graph_io(s, d):
+    path = shared_path(s, "block-graph")
+    volumes.write_graph(rag.region_nodes(views.seg(s, d)), rag.block_region_graph(views.seg(s, d), SEG_BLOCKS), path)
+    return volumes.read_graph(s, path, [1, 2])[1].select("u", "v").distinct()
+
+
+def _two_pass(s, d):
+    i = views.seg(s, d).where("y < 16 and x < 16")
+    p = grid.offset_pairs(i, [[0, 1], [1, 0]], ("label",)).select("y", "x", "channel", F.when(F.col("a_label") == F.col("b_label"), 1.0).otherwise(-1.0).alias("w"))
+    wide = i.select("y", "x").join(p.groupBy("y", "x").pivot("channel", [0, 1]).agg(F.first("w")), ["y", "x"], "left")
+    wide = wide.select("y", "x", F.coalesce(F.col("0"), F.lit(-1.0)).alias("a0"), F.coalesce(F.col("1"), F.lit(-1.0)).alias("a1"))
+    out = two_pass(wide, [[0, 1], [1, 0]], grid.Blocking([0, 0], [16, 16], [8, 8]), (1, 1))
+    return out.join(i.select("y", "x", F.col("label").alias("region")), ["y", "x"]).groupBy("label").agg(F.min("region").alias("region"), F.countDistinct("region").alias("regions"), F.count("*").alias("n")).drop("label")
+
+
+add("volume_region_read", _roi, "SELECT z, y, x, round(value, 6) AS value, label FROM vol WHERE z < 3 AND y >= 20 AND y < 70 AND x >= 10 AND x < 40")
+add("graph_dense_read", _graph_io, "SELECT least(a.i, b.i) AS u, greatest(a.i, b.i) AS v FROM g_sparse g JOIN ids a ON a.node = g.u JOIN ids b ON b.node = g.v", ns=NODES.format("g_sparse"), ids="SELECT node, row_number() OVER (ORDER BY node) - 1 AS i FROM ns")
+add("overlaps_range_read", _overlap_io, "SELECT a, b, cnt FROM seg_ov WHERE a >= 100 AND a < 200")
+add("block_graph_read", _block_graph_io, "SELECT DISTINCT u, v FROM seg_e WHERE ((y + (CASE WHEN axis = 'y' THEN 1 ELSE 0 END)) // 25) * 4 + (x + (CASE WHEN axis = 'x' THEN 1 ELSE 0 END)) // 20 IN (1, 2)")
+add("multiset_labels", lambda s, d: volumes.multiset_labels(OV(s, d).select("a", F.col("b").alias("label"), "cnt"), ["a"]), "SELECT a, b AS label FROM seg_ov QUALIFY row_number() OVER (PARTITION BY a ORDER BY cnt DESC, b) = 1")
+add("two_pass_agglomeration", _two_pass, "SELECT label AS region, 1 AS regions, count(*) AS n FROM seg WHERE y < 16 AND x < 16 GROUP BY label")

@@ -16,13 +16,19 @@ def _folder(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def keep(df: DataFrame, label: str = "round") -> DataFrame:
-    """df, written and read back; its path is the attribute `kept_at`."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder; it goes with the session."""
     base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/tesserae"
     path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     fs, at = _folder(spark, path)
     fs.deleteOnExit(at)
+    return path
+
+
+def keep(df: DataFrame, label: str = "round") -> DataFrame:
+    """df, written and read back; its path is the attribute `kept_at`."""
+    spark = df.sparkSession
+    path = shared_path(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_at = path
