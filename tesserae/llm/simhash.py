@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._blocks import ROW_BITS, Blocks
 from ._components import components
 from ._tables import read, settle
 
@@ -181,11 +182,30 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """df with one row of each group: the one of smallest id (of repeated ids, one row)."""
-    marked = df.withColumn("__row", F.monotonically_increasing_id())
-    found = groups(marked.select(F.struct(F.col(id_col).alias("id"), F.col("__row").alias("row")).alias("key"), text_col), "key", text_col, radius, shingle)
-    kept = found.select(F.col("component_id.row").alias("__row")).distinct()
-    return marked.join(kept, "__row", "left_semi").drop("__row")
+    """df with one row of each group: the one of smallest id (of repeated ids, one row).
+
+    Rows are kept in a block store and chosen there, so texts are not shuffled.
+    """
+    names = [f"c{i}" for i in range(len(df.columns))]
+    store = Blocks(df.toDF(*names), "simhash-rows")
+    id_at, text_at = (names[df.columns.index(c)] for c in (id_col, text_col))
+    place = (F.col("__blk").cast("long") * (1 << ROW_BITS) + F.col("__row")).alias("place")
+    # a null id comes last, so that it names a group of its own kind only
+    key = F.struct(F.col(id_at).isNull().alias("none"), F.col(id_at).alias("id"), place).alias("key")
+    found = groups(store.df.select(key, F.col(text_at).alias("text")), "key", "text", radius, shingle)
+    kept = found.select(F.col("component_id.place").alias("place")).distinct()
+    zero = F.lit(0).cast("long").alias("b")
+    told = kept.select(F.shiftright("place", ROW_BITS).cast("int").alias("blk"), F.lit(1).alias("kind"), F.col("place").bitwiseAND(F.lit((1 << ROW_BITS) - 1)).alias("a"), zero)
+
+    def choose(blk: int, told: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = np.sort(told[1][0])
+        for batch in batches:
+            mask = np.isin(batch.column(0).to_numpy(), rows, assume_unique=True)
+            if mask.any():
+                yield batch.filter(pa.array(mask)).select(names)
+
+    schema = ", ".join(f"{n} {df.schema[k].dataType.simpleString()}" for k, n in enumerate(names))
+    return store.over(told, names, choose, schema).toDF(*df.columns)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
