@@ -181,6 +181,19 @@ def merge_morphology(parts: DataFrame, axes: Sequence[str]) -> DataFrame:
     return parts.groupBy("label").agg(n.alias("size"), *[(F.sum(F.col("size") * F.col(f"com_{a}")) / n).alias(f"com_{a}") for a in axes], *[F.min(f"min_{a}").alias(f"min_{a}") for a in axes], *[F.max(f"max_{a}").alias(f"max_{a}") for a in axes])
 
 
+def filter_features(vox: DataFrame, sigmas: Sequence[float], ignore_label: bool = False) -> DataFrame:
+    """(u, v, sigma, moments): edge moments of the volume smoothed at each scale."""
+    from .images import smooth
+
+    own = axes_of(vox)
+    out = None
+    for s in sigmas:
+        part = vox.select(*own, "label").join(smooth(vox.select(*own, "value"), s), list(own))
+        m = moments(boundary_samples(part, ignore_label=ignore_label), ("u", "v")).withColumn("sigma", F.lit(float(s)))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
 def central_moments(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, mean, sum, min, max, moment2, moment3): central moments from power sums."""
     v = F.col("value")

@@ -138,10 +138,18 @@ def channel_distance(a: Column, b: Column, distance: str) -> Column:
     raise ValueError(f"no distance {distance!r}")
 
 
-def channels_to_edges(vox: DataFrame, distance: str = "l2", offsets: Sequence[Sequence[int]] | None = None, strides: Sequence[int] | None = None) -> DataFrame:
-    """Distance of the channel arrays (column `value`) of neighbours, or of pairs at offsets on a stride."""
+def channels_to_edges(vox: DataFrame, distance: str = "l2", offsets: Sequence[Sequence[int]] | None = None, strides: Sequence[int] | None = None, seed: int | None = None) -> DataFrame:
+    """Distance of the channel arrays (column `value`) of neighbours, or of pairs at offsets on a stride.
+
+    With a seed, pairs are drawn at random in the stride's proportion instead of on its grid.
+    """
     pairs = offset_pairs(vox, offsets, ("value",)) if offsets else contacts(vox, ("value",))
-    if strides:
+    if strides and seed is not None:
+        share = 1.0
+        for s in strides:
+            share /= s
+        pairs = pairs.where(F.rand(seed) < share)
+    elif strides:
         for a, s in zip(axes_of(vox), strides, strict=True):
             pairs = pairs.where(F.col(a) % s == 0)
     return pairs.withColumn("w", channel_distance(F.col("a_value"), F.col("b_value"), distance)).drop("a_value", "b_value")

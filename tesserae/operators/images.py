@@ -207,6 +207,64 @@ def upsample(vox: DataFrame, factor: int) -> DataFrame:
     return vox
 
 
+def seeded_watershed(vox: DataFrame, seeds: DataFrame, shape: Sequence[int], method: str = "edge_weighted", mode: str = "max") -> DataFrame:
+    """(node, label): seeds (node, label) grown over a height map, by edges or by nodes; seeds' components are solved apart."""
+    from . import kernels, solve
+    from .grid import image_to_edges
+
+    own = axes_of(vox)
+    edges = image_to_edges(vox, shape, mode)
+    if method == "edge_weighted":
+        return solve.per_component_seeded(edges, seeds, kernels.kruskal_watershed)
+    heights = vox.select(coordinate_to_node([F.col(a) for a in own], shape).alias("node"), F.col("value").alias("height"))
+    return solve.per_component_seeded(edges, seeds, kernels.node_watershed, heights)
+
+
+def distance_transform(vox: DataFrame, threshold: float) -> DataFrame:
+    """(z, y, x, value): Euclidean distance in each slice to the nearest pixel with value above the threshold.
+
+    One task a slice; exact, by columns and then rows. A slice without such pixels is
+    infinitely far.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y0, x0 = int(pdf["y"].min()), int(pdf["x"].min())
+        h, w = int(pdf["y"].max()) - y0 + 1, int(pdf["x"].max()) - x0 + 1
+        wall = np.zeros((h, w), bool)
+        wall[pdf["y"] - y0, pdf["x"] - x0] = pdf["value"] > threshold
+        g = np.where(wall, 0.0, np.inf)
+        for i in range(1, h):
+            g[i] = np.minimum(g[i], g[i - 1] + 1)
+        for i in range(h - 2, -1, -1):
+            g[i] = np.minimum(g[i], g[i + 1] + 1)
+        step = (np.arange(w)[:, None] - np.arange(w)[None, :]) ** 2
+        d = np.sqrt(np.stack([(row[None, :] ** 2 + step).min(axis=1) for row in g]))
+        return pdf[["z", "y", "x"]].assign(value=d[pdf["y"] - y0, pdf["x"] - x0])
+
+    v = vox if "z" in vox.columns else vox.withColumn("z", F.lit(0).cast("long"))
+    return v.select("z", "y", "x", "value").groupBy("z").applyInPandas(run, "z long, y long, x long, value double")
+
+
+def distance_transform_watershed(vox: DataFrame, threshold: float, sigma: float, shape: Sequence[int]) -> DataFrame:
+    """(node, label) of a 2D image: basins of the smoothed distance to boundary pixels, seeded at its maxima."""
+    far = distance_transform(vox, threshold).select("y", "x", F.col("value").alias("value"))
+    soft = smooth(far, sigma) if sigma > 0 else far
+    seeds = extrema_seeds(soft, shape, maxima=True).where("label > 0")
+    return seeded_watershed(soft.select("y", "x", (-F.col("value")).alias("value")), seeds, shape, "node_weighted")
+
+
+def curve_curvature(points: DataFrame, reach: int = 2) -> DataFrame:
+    """(curve, position, curvature): turning per length at the points (curve, position, y, x) of open curves."""
+    w = Window.partitionBy("curve").orderBy("position")
+    y0, x0, y1, x1 = F.lag("y", reach).over(w), F.lag("x", reach).over(w), F.lead("y", reach).over(w), F.lead("x", reach).over(w)
+    ay, ax, by, bx = F.col("y") - y0, F.col("x") - x0, y1 - F.col("y"), x1 - F.col("x")
+    turn = F.atan2(ax * by - ay * bx, ax * bx + ay * by)
+    length = (F.sqrt(ay * ay + ax * ax) + F.sqrt(by * by + bx * bx)) / 2
+    return points.select("curve", "position", F.when(length > 0, turn / length).otherwise(0.0).alias("curvature"))
+
+
 # cell complexes of 2D label images, on the doubled grid
 
 

@@ -321,14 +321,15 @@ def dual_clustering(merge: Edges, split: Edges, stop: float = 0.5) -> Labels:
     return _finish(g, nodes)
 
 
-def ucm(edges: Edges, regularizers: Iterable[float]) -> list[tuple[int, int, list[float]]]:
-    """For each edge and regulariser, the priority at which its ends merged."""
-    out = {(u, v): [] for u, v, _ in edges}
+def ucm(edges: Edges, regularizers: Iterable[float], pairs: list[tuple[int, int]] | None = None) -> list[tuple[int, int, list[float]]]:
+    """For each edge (or given pair) and regulariser, the priority at which its ends merged."""
+    pairs = [(u, v) for u, v, _ in edges] if pairs is None else pairs
+    out = {p: [] for p in pairs}
     for r in regularizers:
         steps: list[tuple[int, int, float]] = []
         edge_weighted_clustering(edges, regularizer=r, dendrogram=steps)
         tree: dict[int, tuple[int, float, int]] = {d: (a, p, t) for t, (a, d, p) in enumerate(steps)}
-        for u, v, _ in edges:
+        for u, v in pairs:
             a, b, height = u, v, 0.0
             while a != b:
                 ta = tree[a][2] if a in tree else math.inf
@@ -521,6 +522,39 @@ def exact_multicut(edges: Edges) -> Labels:
     return canonical(best[1])
 
 
+def two_way_cut(edges: Edges, rounds: int = 50, seed: int = 0) -> Labels:
+    """Two labels of low energy: a walk that decides the heaviest edges first, then flips single nodes while that helps."""
+    near: dict[int, list[tuple[int, float]]] = defaultdict(list)
+    for u, v, w in edges:
+        near[u].append((v, w))
+        near[v].append((u, w))
+    side: Labels = {}
+    parent, parity = {x: x for x in near}, dict.fromkeys(near, 0)
+
+    def find(x: int) -> tuple[int, int]:
+        p = 0
+        while parent[x] != x:
+            p ^= parity[x]
+            x = parent[x]
+        return x, p
+
+    for u, v, w in sorted(edges, key=lambda e: (-abs(e[2]), e[:2])):
+        (a, p), (b, q) = find(u), find(v)
+        if a != b:
+            parent[b], parity[b] = a, p ^ q ^ int(w < 0)
+    for x in sorted(near):
+        side[x] = find(x)[1]
+    for _ in range(rounds):
+        moved = False
+        for x in sorted(near):
+            if sum(w if side[y] != side[x] else -w for y, w in near[x]) > 1e-12:
+                side[x] = 1 - side[x]
+                moved = True
+        if not moved:
+            break
+    return side
+
+
 def perturb(edges: Edges, kind: str, magnitude: float, seed: int) -> Edges:
     rng = random.Random(seed)
     noise = {

@@ -143,6 +143,14 @@ def multicut_energy(edges: DataFrame, labels: DataFrame, value: str = "w") -> Da
     return j.agg(F.coalesce(F.sum(F.when(F.col("label_u") != F.col("label_v"), F.col(value)).otherwise(0.0)), F.lit(0.0)).alias("energy"))
 
 
+def pixel_wise_energy(vox: DataFrame, weights: DataFrame, offsets) -> DataFrame:
+    """One row: energy of a pixel labeling, the sum of weights (channel, coordinates, value) of pairs it separates."""
+    from .features import affinity_samples
+
+    s = affinity_samples(vox, weights, offsets).where("u <> v")
+    return s.agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("energy"))
+
+
 def st_cut_energy(edges: DataFrame, unaries: DataFrame, labels: DataFrame) -> DataFrame:
     """One row: cut weights plus the unary cost of each node's label (0 or 1, else an error)."""
     bad = F.when(~F.col("label").isin(0, 1), F.raise_error(F.lit("labels must be 0 or 1")).cast("double"))

@@ -112,6 +112,21 @@ def perturb_and_map(edges: DataFrame, times: int, kind: str = "normal", magnitud
     return cuts.groupBy("u", "v").agg(F.avg("cut").alias("cut_share"))
 
 
+def lifted_ucm_features(edges: DataFrame, lifted: DataFrame, regularizers: list[float]) -> DataFrame:
+    """(u, v, heights) of lifted pairs: the priorities at which their ends merge over the local edges."""
+    held = with_components(edges.select("u", "v", "w")).select("u", "v", "w", "component", F.lit(0).alias("kind"))
+    comp = held.select(F.explode(F.array("u", "v")).alias("node"), "component").distinct()
+    j = with_node_values(lifted.select("u", "v"), comp, "component").where("component_u = component_v")
+    every = held.union(j.select("u", "v", F.lit(0.0).alias("w"), F.col("component_u").alias("component"), F.lit(1).alias("kind")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        far = pdf[pdf["kind"] == 1].sort_values(["u", "v"])
+        rows = kernels.ucm(_edges(pdf[pdf["kind"] == 0]), regularizers, list(zip(far["u"].tolist(), far["v"].tolist(), strict=True)))
+        return pd.DataFrame(rows, columns=["u", "v", "heights"])
+
+    return every.groupBy("component").applyInPandas(run, "u long, v long, heights array<double>")
+
+
 def ucm_features(edges: DataFrame, regularizers: list[float]) -> DataFrame:
     """(u, v, heights): for each regulariser the priority at which an edge's ends merge."""
 

@@ -440,3 +440,18 @@ add("overlaps_range_read", _overlap_io, "SELECT a, b, cnt FROM seg_ov WHERE a >=
 add("block_graph_read", _block_graph_io, "SELECT DISTINCT u, v FROM seg_e WHERE ((y + (CASE WHEN axis = 'y' THEN 1 ELSE 0 END)) // 25) * 4 + (x + (CASE WHEN axis = 'x' THEN 1 ELSE 0 END)) // 20 IN (1, 2)")
 add("multiset_labels", lambda s, d: volumes.multiset_labels(OV(s, d).select("a", F.col("b").alias("label"), "cnt"), ["a"]), "SELECT a, b AS label FROM seg_ov QUALIFY row_number() OVER (PARTITION BY a ORDER BY cnt DESC, b) = 1")
 add("two_pass_agglomeration", _two_pass, "SELECT label AS region, 1 AS regions, count(*) AS n FROM seg WHERE y < 16 AND x < 16 GROUP BY label")
+
+
+# further operators
+
+add("filter_features", lambda s, d: fe.filter_features(views.seg(s, d), [1.0]), f"SELECT u, v, 1.0 AS sigma, {MOM} FROM (SELECT u, v, unnest([va, vb]) AS value FROM (SELECT least(a.label, b.label) AS u, greatest(a.label, b.label) AS v, a.value AS va, b.value AS vb FROM soft a JOIN soft b ON (b.y = a.y AND b.x = a.x + 1) OR (b.x = a.x AND b.y = a.y + 1) WHERE a.label <> b.label)) GROUP BY u, v", gk=G, pass1="SELECT a.y, a.x, sum(g * b.value) / sum(g) AS value FROM img a JOIN gk ON true JOIN img b ON b.x = a.x AND b.y = a.y + k GROUP BY a.y, a.x", soft="SELECT a.y, a.x, any_value(s.label) AS label, sum(g * b.value) / sum(g) AS value FROM pass1 a JOIN gk ON true JOIN pass1 b ON b.y = a.y AND b.x = a.x + k JOIN seg s ON s.y = a.y AND s.x = a.x GROUP BY a.y, a.x")
+add("pixel_wise_energy", lambda s, d: partition.pixel_wise_energy(views.seg(s, d), _affinities(s, d), OFFSETS), "SELECT round(sum(value), 4) AS energy FROM aff WHERE la <> lb", digits=4, aff=AFF)
+add("two_way_cut", lambda s, d: partition.multicut_energy(views.g_sparse(s, d), solve.per_component(views.g_sparse(s, d), kernels.two_way_cut)), "SELECT round(sum(w), 6) AS energy FROM g_sparse WHERE w < 0")
+add("lifted_ucm_features", lambda s, d: solve.lifted_ucm_features(_positive(s, d), _lifted(s, d), [0.1, 0.9]).select("u", "v", F.size("heights").alias("n")), "SELECT node AS u, target AS v, 2 AS n FROM hops WHERE node < target GROUP BY 1, 2 HAVING min(h) = 2", ns=NODES.format("g_sparse"), sym=SYM.format("g_sparse"), hops=HOPS)
+add("channels_random_stride", lambda s, d: grid.channels_to_edges(views.img(s, d).withColumn("value", F.array("value", "value")), "l1", OFFSETS, (2, 2), seed=3).select("y", "x", "channel", "w"))
+add("seeded_watershed_edges", lambda s, d: images.seeded_watershed(views.img(s, d).where("y < 20"), images.extrema_seeds(views.img(s, d).where("y < 20"), (20, 64)), (20, 64)))
+add("seeded_watershed_nodes", lambda s, d: images.seeded_watershed(views.img(s, d).where("y < 20"), images.extrema_seeds(views.img(s, d).where("y < 20"), (20, 64)), (20, 64), "node_weighted"))
+add("distance_transform", lambda s, d: images.distance_transform(views.vol(s, d).where("y < 30"), 0.2), "SELECT a.z, a.y, a.x, round(sqrt(min((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x))), 6) AS value FROM vol a JOIN vol b ON a.z = b.z AND b.value > 0.2 WHERE a.y < 30 AND b.y < 30 GROUP BY a.z, a.y, a.x")
+add("distance_transform_watershed", lambda s, d: images.distance_transform_watershed(views.img(s, d).where("y < 20"), 0.15, 1.0, (20, 64)))
+CURVE = "SELECT y AS curve, x AS position, x + 0.0 AS cx, value * 10 AS cy FROM img WHERE y < 40"
+add("curve_curvature", lambda s, d: images.curve_curvature(views.img(s, d).where("y < 40").select(F.col("y").alias("curve"), F.col("x").alias("position"), (F.col("value") * 10).alias("y"), (F.col("x") + 0.0).alias("x"))), "SELECT curve, position, round(CASE WHEN len > 0 THEN atan2(ax * by_ - ay * bx, ax * bx + ay * by_) / len ELSE 0 END, 6) AS curvature FROM (SELECT *, (sqrt(ay * ay + ax * ax) + sqrt(by_ * by_ + bx * bx)) / 2 AS len FROM (SELECT curve, position, cy - lag(cy, 2) OVER w AS ay, cx - lag(cx, 2) OVER w AS ax, lead(cy, 2) OVER w - cy AS by_, lead(cx, 2) OVER w - cx AS bx FROM curve_points WINDOW w AS (PARTITION BY curve ORDER BY position)))", curve_points=CURVE)
