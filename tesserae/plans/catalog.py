@@ -455,3 +455,7 @@ add("distance_transform", lambda s, d: images.distance_transform(views.vol(s, d)
 add("distance_transform_watershed", lambda s, d: images.distance_transform_watershed(views.img(s, d).where("y < 20"), 0.15, 1.0, (20, 64)))
 CURVE = "SELECT y AS curve, x AS position, x + 0.0 AS cx, value * 10 AS cy FROM img WHERE y < 40"
 add("curve_curvature", lambda s, d: images.curve_curvature(views.img(s, d).where("y < 40").select(F.col("y").alias("curve"), F.col("x").alias("position"), (F.col("value") * 10).alias("y"), (F.col("x") + 0.0).alias("x"))), "SELECT curve, position, round(CASE WHEN len > 0 THEN atan2(ax * by_ - ay * bx, ax * bx + ay * by_) / len ELSE 0 END, 6) AS curvature FROM (SELECT *, (sqrt(ay * ay + ax * ax) + sqrt(by_ * by_ + bx * bx)) / 2 AS len FROM (SELECT curve, position, cy - lag(cy, 2) OVER w AS ay, cx - lag(cx, 2) OVER w AS ax, lead(cy, 2) OVER w - cy AS by_, lead(cx, 2) OVER w - cx AS bx FROM curve_points WINDOW w AS (PARTITION BY curve ORDER BY position)))", curve_points=CURVE)
+
+ORACLE_SQL["bellman_ford"] = sql("SELECT node, round(min(dist), 6) AS dist FROM walk WHERE node <> 36 GROUP BY node", walk="SELECT CAST(36 AS BIGINT) AS node, 0.0::DOUBLE AS dist UNION ALL SELECT g.v, r.dist + g.w FROM walk r JOIN g_sparse g ON g.u = r.node")
+ORACLE_SQL["block_table"] = "SELECT (p * 3 + q) * 3 + r AS block_id, p AS pos0, b0 AS begin0, e0 AS end0, greatest(b0 - 1, 0) AS outer_begin0, least(e0 + 1, 5) AS outer_end0, q AS pos1, b1 AS begin1, e1 AS end1, greatest(b1 - 1, 0) AS outer_begin1, least(e1 + 1, 6) AS outer_end1, r AS pos2, b2 AS begin2, e2 AS end2, greatest(b2 - 1, 0) AS outer_begin2, least(e2 + 1, 7) AS outer_end2 FROM (SELECT p, q, r, p * 3 AS b0, least(p * 3 + 3, 5) AS e0, greatest(q * 3 - 1, 0) AS b1, least(q * 3 + 2, 6) AS e1, r * 3 AS b2, least(r * 3 + 3, 7) AS e2 FROM (SELECT unnest(range(0, 2)) AS p) CROSS JOIN (SELECT unnest(range(0, 3)) AS q) CROSS JOIN (SELECT unnest(range(0, 3)) AS r))"
+ORACLE_SQL["hessian_strongest"] = sql("SELECT y, x, round((yy + xx) / 2 + sqrt(((yy - xx) / 2) * ((yy - xx) / 2) + xy * xy), 6) AS value FROM (SELECT y, x, yy, xx, (coalesce(lead(gx) OVER wy, gx) - coalesce(lag(gx) OVER wy, gx)) / 2 AS xy FROM second WINDOW wy AS (PARTITION BY x ORDER BY y))", second="SELECT y, x, coalesce(lead(value) OVER wy, value) - 2 * value + coalesce(lag(value) OVER wy, value) AS yy, coalesce(lead(value) OVER wx, value) - 2 * value + coalesce(lag(value) OVER wx, value) AS xx, (coalesce(lead(value) OVER wx, value) - coalesce(lag(value) OVER wx, value)) / 2 AS gx FROM img WINDOW wy AS (PARTITION BY x ORDER BY y), wx AS (PARTITION BY y ORDER BY x)")

@@ -143,3 +143,14 @@ def test_triangles(spark):
     s = {(a, b) for a, b, _ in e}
     want = sorted(t for t in itertools.combinations(range(12), 3) if {(t[0], t[1]), (t[0], t[2]), (t[1], t[2])} <= s)
     assert sorted(map(tuple, graph.triangles(frame(spark, e)).collect())) == want
+
+
+def test_two_way_cut_is_exact_on_a_forest():
+    e = [(0, 1, -2.0), (1, 2, 3.0), (1, 3, -1.0), (5, 6, 4.0)]
+    assert kernels.energy(e, kernels.two_way_cut(e)) == -3.0
+
+
+def test_heights_rise_with_the_merge_order():
+    e = [(0, 1, 0.1), (1, 2, 0.5), (2, 3, 0.2)]
+    h = {(u, v): x[0] for u, v, x in kernels.ucm(e, [0.0], [(0, 1), (2, 3), (0, 3)])}
+    assert h[0, 1] < h[2, 3] < h[0, 3]
