@@ -225,7 +225,7 @@ HOPS = "SELECT node, node AS target, 0 AS h FROM ns UNION SELECT r.node, s.neigh
 add("pairs_within", lambda s, d: ga.pairs_within(views.g_sparse(s, d), 3), "SELECT node AS u, target AS v, CAST(min(h) AS BIGINT) AS hops FROM hops WHERE node < target GROUP BY 1, 2", ns=NODES.format("g_sparse"), sym=SYM.format("g_sparse"), hops=HOPS)
 add("lifted_neighborhood", lambda s, d: ga.lifted_neighborhood(views.g_sparse(s, d), 3), "SELECT node AS u, target AS v, CAST(min(h) AS BIGINT) AS hops FROM hops WHERE node < target GROUP BY 1, 2 HAVING min(h) >= 2", ns=NODES.format("g_sparse"), sym=SYM.format("g_sparse"), hops=HOPS)
 add("lifted_from_labels", lambda s, d: ga.lifted_from_labels(views.g_sparse(s, d), _mod_labels(views.g_sparse(s, d), 3), 3, "same"), "SELECT node AS u, target AS v, CAST(min(h) AS BIGINT) AS hops FROM hops WHERE node < target AND node % 3 = target % 3 AND node % 3 <> 0 GROUP BY 1, 2 HAVING min(h) >= 2", ns=NODES.format("g_sparse"), sym=SYM.format("g_sparse"), hops=HOPS)
-add("lifted_from_node", lambda s, d: ga.lifted_from_node(views.g_sparse(s, d), 35, 3), "SELECT least(node, target) AS u, greatest(node, target) AS v, CAST(min(h) AS BIGINT) AS hops FROM hops WHERE node = 35 GROUP BY 1, 2 HAVING min(h) >= 2", ns=NODES.format("g_sparse"), sym=SYM.format("g_sparse"), hops=HOPS)
+add("lifted_from_node", lambda s, d: ga.lifted_from_node(views.g_sparse(s, d), views.g_sparse(s, d).agg(F.max("v")).first()[0], 3), "SELECT least(node, target) AS u, greatest(node, target) AS v, CAST(min(h) AS BIGINT) AS hops FROM hops WHERE node = (SELECT max(v) FROM g_sparse) GROUP BY 1, 2 HAVING min(h) >= 2", ns=NODES.format("g_sparse"), sym=SYM.format("g_sparse"), hops=HOPS)
 
 
 def _positive(s, d):
@@ -246,11 +246,14 @@ def _path_pairs(s, d):
 add_cc("shortest_paths", lambda s, d: ga.shortest_paths(_positive(s, d), _path_pairs(s, d)).select("source", "target", F.size("path").alias("n"), "dist"), "g_sparse", "SELECT w.node AS source, w.target, w.n, round(w.dist, 6) AS dist FROM walk w JOIN cc ON cc.node = w.node AND cc.component = w.target", sym=SYM.format("g_sparse"), walk="SELECT node, node AS target, 0.0::DOUBLE AS dist, CAST(NULL AS BIGINT) AS previous, 1 AS n FROM cc_nodes WHERE node % 10 = 0 UNION ALL SELECT r.node, s.neighbor, r.dist + abs(s.w), r.target, r.n + 1 FROM walk r JOIN sym s ON s.node = r.target AND s.neighbor IS DISTINCT FROM r.previous")
 
 
-def _arcs(s, d):
-    return views.g_sparse(s, d).select(F.col("u").alias("src"), F.col("v").alias("dst"), "w")
+def _bellman_ford(s, d):
+    e = views.g_sparse(s, d)
+    start = e.agg(F.max("v")).first()[0]
+    arcs = e.select(F.col("u").alias("src"), F.col("v").alias("dst"), F.abs("w").alias("w")).union(e.select("v", "u", F.abs("w")))
+    return ga.bellman_ford(arcs, start)
 
 
-add("bellman_ford", lambda s, d: ga.bellman_ford(_arcs(s, d), 36).where("node <> 36"))
+add("bellman_ford", _bellman_ford, "SELECT target AS node, round(dist, 6) AS dist FROM walk", sym=SYM.format("g_sparse"), walk="SELECT target, 0.0::DOUBLE AS dist, CAST(NULL AS BIGINT) AS previous FROM (SELECT max(v) AS target FROM g_sparse) UNION ALL SELECT s.neighbor, r.dist + abs(s.w), r.target FROM walk r JOIN sym s ON s.node = r.target AND s.neighbor IS DISTINCT FROM r.previous")
 add("triangles", lambda s, d: ga.triangles(views.g_tri(s, d)), "SELECT a.u AS a, a.v AS b, c.v AS c FROM g_tri a JOIN g_tri b ON b.u = a.v JOIN g_tri c ON c.u = a.u AND c.v = b.v")
 
 
@@ -456,6 +459,5 @@ add("distance_transform_watershed", lambda s, d: images.distance_transform_water
 CURVE = "SELECT y AS curve, x AS position, x + 0.0 AS cx, value * 10 AS cy FROM img WHERE y < 40"
 add("curve_curvature", lambda s, d: images.curve_curvature(views.img(s, d).where("y < 40").select(F.col("y").alias("curve"), F.col("x").alias("position"), (F.col("value") * 10).alias("y"), (F.col("x") + 0.0).alias("x"))), "SELECT curve, position, round(CASE WHEN len > 0 THEN atan2(ax * by_ - ay * bx, ax * bx + ay * by_) / len ELSE 0 END, 6) AS curvature FROM (SELECT *, (sqrt(ay * ay + ax * ax) + sqrt(by_ * by_ + bx * bx)) / 2 AS len FROM (SELECT curve, position, cy - lag(cy, 2) OVER w AS ay, cx - lag(cx, 2) OVER w AS ax, lead(cy, 2) OVER w - cy AS by_, lead(cx, 2) OVER w - cx AS bx FROM curve_points WINDOW w AS (PARTITION BY curve ORDER BY position)))", curve_points=CURVE)
 
-ORACLE_SQL["bellman_ford"] = sql("SELECT node, round(min(dist), 6) AS dist FROM walk WHERE node <> 36 GROUP BY node", walk="SELECT CAST(36 AS BIGINT) AS node, 0.0::DOUBLE AS dist UNION ALL SELECT g.v, r.dist + g.w FROM walk r JOIN g_sparse g ON g.u = r.node")
 ORACLE_SQL["block_table"] = "SELECT (p * 3 + q) * 3 + r AS block_id, p AS pos0, b0 AS begin0, e0 AS end0, greatest(b0 - 1, 0) AS outer_begin0, least(e0 + 1, 5) AS outer_end0, q AS pos1, b1 AS begin1, e1 AS end1, greatest(b1 - 1, 0) AS outer_begin1, least(e1 + 1, 6) AS outer_end1, r AS pos2, b2 AS begin2, e2 AS end2, greatest(b2 - 1, 0) AS outer_begin2, least(e2 + 1, 7) AS outer_end2 FROM (SELECT p, q, r, p * 3 AS b0, least(p * 3 + 3, 5) AS e0, greatest(q * 3 - 1, 0) AS b1, least(q * 3 + 2, 6) AS e1, r * 3 AS b2, least(r * 3 + 3, 7) AS e2 FROM (SELECT unnest(range(0, 2)) AS p) CROSS JOIN (SELECT unnest(range(0, 3)) AS q) CROSS JOIN (SELECT unnest(range(0, 3)) AS r))"
 ORACLE_SQL["hessian_strongest"] = sql("SELECT y, x, round((yy + xx) / 2 + sqrt(((yy - xx) / 2) * ((yy - xx) / 2) + xy * xy), 6) AS value FROM (SELECT y, x, yy, xx, (coalesce(lead(gx) OVER wy, gx) - coalesce(lag(gx) OVER wy, gx)) / 2 AS xy FROM second WINDOW wy AS (PARTITION BY x ORDER BY y))", second="SELECT y, x, coalesce(lead(value) OVER wy, value) - 2 * value + coalesce(lag(value) OVER wy, value) AS yy, coalesce(lead(value) OVER wx, value) - 2 * value + coalesce(lag(value) OVER wx, value) AS xx, (coalesce(lead(value) OVER wx, value) - coalesce(lag(value) OVER wx, value)) / 2 AS gx FROM img WINDOW wy AS (PARTITION BY x ORDER BY y), wx AS (PARTITION BY y ORDER BY x)")
