@@ -16,7 +16,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import filesystem, settle
+from ._tables import filesystem, settle, small_batches
 
 ROW_BITS = 33
 #: (blk, kind, a, b): what a pass is told about a block.
@@ -27,6 +27,7 @@ class Blocks:
     """Rows of a DataFrame as columns __blk, __row and its own, in the shared folder."""
 
     def __init__(self, df: DataFrame, label: str):
+        small_batches(df.sparkSession)
         at = F.monotonically_increasing_id()
         held = df.withColumn("__blk", F.spark_partition_id()).withColumn("__row", at.bitwiseAND(F.lit((1 << ROW_BITS) - 1)))
         self.df, self.path = settle(held, label, ("__blk",))

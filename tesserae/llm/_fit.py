@@ -55,6 +55,7 @@ class Rows:
 
 def gather(sample: DataFrame, featurise: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], label_type: str) -> tuple[list[np.ndarray], list]:
     """Features and labels of a bounded sample, computed on executors, ordered by id and text digest."""
+    from ._tables import small_batches
     from ._text import text_chunks
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,6 +66,7 @@ def gather(sample: DataFrame, featurise: Callable[[np.ndarray, np.ndarray], list
                 flat = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a)], ["features", "label", "place"])
 
+    small_batches(sample.sparkSession)
     found = sample.select("text", "label", F.xxhash64("id", "text").alias("place")).mapInArrow(scan, f"features array<int>, label {label_type}, place bigint").toArrow()
     found = found.sort_by([("place", "ascending")])
     col = found.column("features").combine_chunks()

@@ -12,6 +12,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches between the JVM and Python in this session; texts can be long.
+
+    A smaller setting of the session's owner stands.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > BATCH:
+        spark.conf.set(key, f"{BATCH}b")
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under spark.checkpoint.dir, which all executors share; it goes with the session.
 

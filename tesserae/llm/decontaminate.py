@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._tables import read, settle
+from ._tables import read, settle, small_batches
 from ._text import WORD, mix, prefix_sums, range_hash, runs, text_chunks
 
 WORDS, SHARE = 5, 0.8
@@ -142,6 +142,7 @@ class Items:
 def item_blocks(items: DataFrame, share: float, item_col: str, text_col: str, block: int) -> Iterator[Broadcast]:
     """The items in blocks of a bounded size, each as a broadcast `Items`."""
     spark = items.sparkSession
+    small_batches(spark)
     asked, _ = settle(items.select(F.col(item_col).alias("item"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text")), "items")
     total = asked.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     blocks = max(1, math.ceil(total / (block * 4)))

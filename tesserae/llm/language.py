@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._fit import bounded, gather, held_out, sums
-from ._tables import read
+from ._tables import read, small_batches
 from ._text import LETTER, LOWER, text_chunks
 
 #: Documents of a language that are fitted, at most and in expectation.
@@ -160,6 +160,7 @@ def fit(docs: DataFrame, usable: F.Column, sample: int = SAMPLE, lang_col: str =
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, lang_pred, score)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col).cast("string")

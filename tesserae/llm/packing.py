@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _tokens
-from ._tables import read
+from ._tables import read, small_batches
 
 LENGTH, END = 2048, 1
 #: Context sizes, longest first.
@@ -131,6 +131,7 @@ def steps(sequences: list[tuple[int, list]], step: int = STEP) -> list[int]:
 
 def pack_documents(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end: int = END, tiers: tuple[int, ...] = TIERS, pool: int = POOL) -> DataFrame:
     """(id_col, SCHEMA): one row per piece, with its ids; sequence_id is unique, offset counts from 0 in it."""
+    small_batches(df.sparkSession)
     path = path or _tokens.default_path()
     kind = df.schema[id_col].dataType.simpleString()
 

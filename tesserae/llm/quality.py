@@ -97,7 +97,7 @@ class Network:
                 np.add.at(context, a, index[b])
                 np.add.at(context, b, index[a])
         norm = np.linalg.norm(context, axis=1, keepdims=True)
-        self.vectors = index / np.sqrt(SIGNS) + context / np.maximum(norm, 1e-6)
+        self.vectors = index / np.float32(np.sqrt(SIGNS)) + context / np.maximum(norm, np.float32(1e-6))
         x = np.zeros((len(rows), WIDTH + 1))
         for i in range(len(rows)):
             own = flat[rows.offs[i] : rows.offs[i + 1]]

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ._blocks import ROW_BITS, Blocks
 from ._components import components
-from ._tables import read, settle
+from ._tables import read, settle, small_batches
 
 RADIUS, SHINGLE, SEED, BLOCKS = 3, 3, 42, 4
 #: Home rows that one tile holds at most; larger tiles are split, and every piece meets every other.
@@ -52,6 +52,8 @@ def fingerprint(data: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(id_col, fp): the fingerprint of each row as a signed long."""
 
+    small_batches(df.sparkSession)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _tokens
-from ._tables import filesystem, read, settle, shared_dir
+from ._tables import filesystem, read, settle, shared_dir, small_batches
 
 END, LENGTH, ROWS = 0, 2048, 256
 
@@ -83,6 +83,7 @@ class SequenceWriter:
 
 def write_tokens(df: DataFrame, folder: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end: int = END, length: int = LENGTH, rows: int = ROWS) -> DataFrame:
     """Write df's ids to folder; returns (range, documents, ids) of each file, in order of range."""
+    small_batches(df.sparkSession)
     path = path or _tokens.default_path()
     kind = df.schema[id_col].dataType.simpleString()
 

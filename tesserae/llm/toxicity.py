@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._fit import Rows, gather, held_out, labelled
-from ._tables import read
+from ._tables import read, small_batches
 from ._text import LETTER, LOWER, prefix_sums, range_hash, runs, text_chunks
 
 #: Documents of a label that are fitted, at most and in expectation.
@@ -125,6 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: F.Column, sample: int = SAMP
 
 def score(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", name: str = "score") -> DataFrame:
     """The columns `keep` and a score by a model with score(bytes, offsets); one pass, without a shuffle."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in keep if c != name]
 
@@ -132,7 +133,7 @@ def score(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",), text_col:
         known = shared.value
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for a, b, data, offs in text_chunks(batch, "__text", 1 << 19):
+            for a, b, data, offs in text_chunks(batch, "__text", 1 << 18):
                 out[a:b] = known.score(data, offs)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], [*kept, name])
 
