@@ -34,6 +34,7 @@ FEW = 8
 #: Common words in a row that anchor one chain; of a longer run, every next one is taken as content
 #: (an unbounded repetition would recurse once a word in Java's matcher).
 RUN = 16
+CELLS = 8192
 
 
 def with_signatures(df: DataFrame, text_col: str, name: str, anchors: list[str] = ANCHORS) -> DataFrame:
@@ -107,31 +108,35 @@ def classes(sets: DataFrame, id_col: str = "doc_id", set_col: str = "signatures"
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, text, signatures, next, next_signatures): each row with its next in descending order of id.
 
-    The last row is followed by the first. Texts are dealt once into ranges of ids, whose
-    bounds (a few hundred numbers) come from a quantile sketch. Each range also gets a copy
-    of the first row of the range after it, named by id and digest, so no window spans the
-    table. A range's first row is looked up in one list as long as there are ranges.
+    The last row is followed by the first. Texts are dealt once into ranges of ids: rows are
+    counted in CELLS cells of equal width, and neighbouring cells are joined into ranges of
+    like counts. Each range also gets a copy of the first row of the range after it, named
+    by id and digest, so no window spans the table. Broadcast are a row a cell and a range.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted(set(rows.approxQuantile("id", [k / ranges for k in range(1, ranges)], 0.2 / ranges)))
-    # range 0 has the largest ids; null ids come last
-    above = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>")
-    at = F.size(F.filter(above, lambda b: b >= F.col("id").cast("double")))
-    dealt = rows.withColumn("range", F.when(F.col("id").isNull(), len(bounds) + 1).otherwise(at))
-    first = dealt.select("range", F.struct(F.col("id").isNull(), (-F.col("id")).alias("o"), F.md5("text").alias("digest"), "id").alias("h")).groupBy("range").agg(F.min("h").alias("h"))
-    heads = sorted((r["range"], r["h"]["id"], r["h"]["digest"]) for r in first.collect())
-    if not heads:
-        dealt = dealt.where("false")
-        heads = [(0, None, "")]
-    known = {r: (i, d, heads[k - 1][0]) for k, (r, i, d) in enumerate(heads)}
-    ids = F.create_map(*[x for r, (i, _, _) in known.items() for x in (F.lit(r), F.lit(i).cast(docs.schema[id_col].dataType))])
-    digests = F.create_map(*[x for r, (_, d, _) in known.items() for x in (F.lit(r), F.lit(d))])
-    back = F.create_map(*[x for r, (_, _, b) in known.items() for x in (F.lit(r), F.lit(b))])
-    head = F.col("id").eqNullSafe(ids[F.col("range")]) & (F.md5("text") == digests[F.col("range")])
-    places = F.when(head, F.array(F.struct("range", F.lit(0).alias("copy")), F.struct(back[F.col("range")].alias("range"), F.lit(1).alias("copy")))).otherwise(F.array(F.struct("range", F.lit(0).alias("copy"))))
-    both = with_signatures(dealt, "text", "signatures").select("id", "text", "signatures", F.explode(places).alias("p")).select("id", "text", "signatures", "p.range", "p.copy")
+    ends = rows.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).first()
+    lo, hi = (ends.lo or 0, ends.hi or 0)
+    # cell 0 has the largest ids; null ids come last
+    at = F.floor((F.lit(hi) - F.col("id")).cast("double") * CELLS / (float(hi) - float(lo) + 1))
+    rows = rows.withColumn("cell", F.coalesce(F.least(at, F.lit(CELLS - 1)), F.lit(CELLS)).cast("int"))
+    counts = sorted((r["cell"], r["count"]) for r in rows.groupBy("cell").count().collect())
+    goal = max(1, ends.n // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    cells, seen = [], 0
+    for cell, n in counts:
+        cells.append((cell, seen // goal))
+        seen += n
+    table = spark.createDataFrame(cells, "cell int, range int")
+    dealt = rows.join(F.broadcast(table), "cell").select("id", "text", "range")
+    first = F.min(F.struct(F.col("id").isNull(), (-F.col("id")).alias("o"), F.md5("text").alias("digest"), "id"))
+    heads = sorted((r["range"], r["h"]["id"], r["h"]["digest"]) for r in dealt.groupBy("range").agg(first.alias("h")).collect())
+    known = [(r, i, d, heads[k - 1][0]) for k, (r, i, d) in enumerate(heads)]
+    kind = docs.schema[id_col].dataType.simpleString()
+    dealt = dealt.join(F.broadcast(spark.createDataFrame(known, f"range int, head {kind}, digest string, before int")), "range")
+    head = F.col("id").eqNullSafe(F.col("head")) & (F.md5("text") == F.col("digest"))
+    own = F.struct("range", F.lit(0).alias("copy"))
+    places = F.when(head, F.array(own, F.struct(F.col("before").alias("range"), F.lit(1).alias("copy")))).otherwise(F.array(own))
+    both = with_signatures(dealt.select("id", "text", places.alias("p")), "text", "signatures").select("id", "text", "signatures", F.explode("p").alias("p")).select("id", "text", "signatures", "p.range", "p.copy")
     order = Window.partitionBy("range").orderBy("copy", F.col("id").desc_nulls_last(), F.md5("text"))
     both = both.select("id", "copy", "text", "signatures", F.lead("text").over(order).alias("next"), F.lead("signatures").over(order).alias("next_signatures"))
     return both.where("copy = 0").select(F.col("id").alias(id_col), "text", "signatures", "next", "next_signatures")
