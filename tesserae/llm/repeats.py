@@ -39,6 +39,8 @@ from .suffixes import sort_suffixes
 LENGTH = 200
 #: Bytes of suffix bucket sorted at once.
 BUCKET_BYTES = 1 << 20
+#: Bytes of a text scanned at once.
+PIECE_BYTES = 1 << 22
 RESULT = ("kept", "n_bytes", "n_removed", "n_spans", "absent")
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -77,14 +79,29 @@ def _segments(data: np.ndarray, offs: np.ndarray, skip: np.ndarray, length: int)
     return start[new], start[end], own[new], h[own[new]], prefix
 
 
-def _anchor_pass(length: int):
+def _pieces(batch: pa.RecordBatch, length: int, piece: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(rows, bytes, offsets, base) of a batch in bounded pieces.
+
+    A text longer than a piece is cut into several that overlap by all but one byte of a
+    window, so each window lies in one of them; base is where the piece begins in its text.
+    """
+    rows = batch.column(0).to_numpy()
+    for a, b, data, offs in text_chunks(batch, "text", min(CHUNK_BYTES, piece)):
+        if data.size <= piece:
+            yield rows[a:b], data, offs, 0
+            continue
+        for at in range(0, data.size, piece):
+            part = data[at : at + piece + length - 1]
+            yield rows[a:b], part, np.array([0, part.size]), at
+
+
+def _anchor_pass(length: int, piece: int):
     def work(blk: int, told: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         skip = np.sort(told.get(1, (np.zeros(0, np.int64),))[0])
         found = []
         for batch in batches:
-            rows = batch.column(0).to_numpy()
-            for a, b, data, offs in text_chunks(batch, "text"):
-                found.append(_segments(data, offs, np.isin(rows[a:b], skip), length)[3])
+            for rows, data, offs, _ in _pieces(batch, length, piece):
+                found.append(_segments(data, offs, np.isin(rows, skip), length)[3])
         if not found:
             return
         h, n = np.unique(np.concatenate(found), return_counts=True)
@@ -96,7 +113,7 @@ def _anchor_pass(length: int):
     return work
 
 
-def _context_pass(length: int):
+def _context_pass(length: int, piece: int):
     half = length // 4
 
     def work(blk: int, told: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,9 +135,8 @@ def _context_pass(length: int):
             held.clear()
 
         for batch in batches:
-            rows = batch.column(0).to_numpy()
-            for a, b, data, offs in text_chunks(batch, "text"):
-                first, last, anchor, h, prefix = _segments(data, offs, np.isin(rows[a:b], skip), length)
+            for rows, data, offs, base in _pieces(batch, length, piece):
+                first, last, anchor, h, prefix = _segments(data, offs, np.isin(rows, skip), length)
                 at = np.minimum(np.searchsorted(wanted, h), wanted.size - 1)
                 first, last, anchor = (x[wanted[at] == h] for x in (first, last, anchor))
                 left = first <= anchor - half
@@ -132,7 +148,7 @@ def _context_pass(length: int):
                 whole = data.tobytes()
                 for x, y, key in pieces:
                     doc = np.searchsorted(offs, x, "right") - 1
-                    for s, e, k, r, o in zip(x.tolist(), (y + length).tolist(), key.view(np.int64).tolist(), rows[a:b][doc].tolist(), (x - offs[doc]).tolist(), strict=True):
+                    for s, e, k, r, o in zip(x.tolist(), (y + length).tolist(), key.view(np.int64).tolist(), rows[doc].tolist(), (x - offs[doc] + base).tolist(), strict=True):
                         text = whole[s:e]
                         if (at_ := held.get((k, text))) is None:
                             at_ = held[k, text] = ([], [])
@@ -259,7 +275,7 @@ def _whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[i
     return out
 
 
-def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH, characters: bool = False, bucket: int = BUCKET_BYTES) -> DataFrame:
+def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH, characters: bool = False, bucket: int = BUCKET_BYTES, piece: int = PIECE_BYTES) -> DataFrame:
     """df with columns kept, n_bytes, n_removed and n_spans added.
 
     kept is binary: the bytes that stay, concatenated. With characters=True a
@@ -273,10 +289,10 @@ def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH,
     copies, _ = settle(digests.join(copied, ["digest", "n"]).select(F.col("__blk").alias("blk"), F.col("__row").alias("row"), "n", (place == F.col("first")).alias("first")), "repeats-copies")
     zero = F.lit(0).cast("long").alias("b")
     skip = copies.where("not first").select("blk", F.lit(1).alias("kind"), F.col("row").alias("a"), zero)
-    anchors = store.over(store.every().union(skip), ["text"], _anchor_pass(length), "h bigint, blk int")
+    anchors = store.over(store.every().union(skip), ["text"], _anchor_pass(length, piece), "h bigint, blk int")
     twice = anchors.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
     wanted = twice.select("blk", F.lit(2).alias("kind"), F.col("h").alias("a"), zero)
-    contexts = store.over(wanted.union(skip), ["text"], _context_pass(length), "key bigint, bytes binary, blk int, rows array<bigint>, starts array<bigint>")
+    contexts = store.over(wanted.union(skip), ["text"], _context_pass(length, piece), "key bigint, bytes binary, blk int, rows array<bigint>, starts array<bigint>")
     spans = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(_sorter(length, bucket), "blk int, row bigint, start bigint, end bigint")
     # kind 3: a row, and a span as start * 2**31 + length
     told = spans.select("blk", F.lit(3).alias("kind"), F.col("row").alias("a"), (F.col("start") * (1 << 31) + (F.col("end") - F.col("start"))).alias("b"))

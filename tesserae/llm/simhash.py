@@ -14,6 +14,7 @@ Columns besides the two named are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,23 +31,31 @@ RADIUS, SHINGLE, SEED, BLOCKS = 3, 3, 42, 4
 #: Home rows that one tile holds at most; larger tiles are split, and every piece meets every other.
 TILE_ROWS = 8192
 _SLICE = 1 << 16
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
-def fingerprint(data: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+def fingerprint(data: bytes, shingle: int = SHINGLE, seed: int = SEED, piece: int = 1 << 21) -> int:
     """Unsigned 64-bit SimHash of a text's lower-cased word shingles."""
-    words = data.lower().split()
-    if not words:
-        return 0
-    if len(words) <= shingle:
-        grams = [b" ".join(words)]
-    else:
-        grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
     digest = xxhash.xxh64_digest
-    raw = np.frombuffer(b"".join([digest(g, seed) for g in grams]), np.uint8).reshape(-1, 8)
-    total = np.zeros(64, np.int64)
-    for i in range(0, len(raw), _SLICE):
-        total += np.unpackbits(raw[i : i + _SLICE], axis=1).sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(total * 2 > len(raw)).tobytes(), "big")
+    total, count, held, at = np.zeros(64, np.int64), 0, [], 0
+    while at < len(data):
+        # a long text is taken in slices that end at white space; the last words lead the next
+        end = at + piece
+        if end < len(data):
+            end = found.start() if (found := _SPACE.search(data, end)) else len(data)
+        held += data[at:end].lower().split()
+        at = end
+        if len(held) < shingle:
+            continue
+        grams = map(b" ".join, zip(*(held[i:] for i in range(shingle)), strict=False))
+        raw = np.frombuffer(b"".join([digest(g, seed) for g in grams]), np.uint8).reshape(-1, 8)
+        for i in range(0, len(raw), _SLICE):
+            total += np.unpackbits(raw[i : i + _SLICE], axis=1).sum(axis=0, dtype=np.int32)
+        count += len(raw)
+        held = held[len(held) - shingle + 1 :]
+    if not count:
+        return int.from_bytes(digest(b" ".join(held), seed), "big") if held else 0
+    return int.from_bytes(np.packbits(total * 2 > count).tobytes(), "big")
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:

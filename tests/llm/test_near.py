@@ -29,7 +29,8 @@ def slow_fingerprint(text):
 
 def test_fingerprint():
     for t in ["", None, "One", "One two", "A b\tC\n d É Ü", sentences(1, 500)]:
-        assert simhash.fingerprint((t or "").encode()) == slow_fingerprint(t)
+        for piece in (1 << 21, 50, 1):
+            assert simhash.fingerprint((t or "").encode(), piece=piece) == slow_fingerprint(t)
 
 
 def test_links_connect_what_brute_force_links(spark):

@@ -70,11 +70,11 @@ def test_against_brute_force(spark):
         assert got[i] == want, i
 
 
-def test_buckets_of_any_size_agree(spark):
+def test_buckets_and_pieces_of_any_size_agree(spark):
     texts = make_texts()
     docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(2)
     for bucket in (1000, 20000):
-        got = {r.doc_id: r.n_removed for r in repeats.remove_repeats(docs, bucket=bucket).collect()}
+        got = {r.doc_id: r.n_removed for r in repeats.remove_repeats(docs, bucket=bucket, piece=bucket // 3).collect()}
         assert got == {i: w[1] for i, w in enumerate(brute(texts))}
 
 
