@@ -102,6 +102,35 @@ def smooth_max(p: float = 0.0):
     return rule
 
 
+class Ranked(float):
+    """A quantile of a histogram, which it carries; merging adds histograms."""
+
+    counts: tuple[float, ...]
+
+    @classmethod
+    def of(cls, counts: tuple[float, ...], q: float, low: float, high: float) -> Ranked:
+        bins = len(counts)
+        goal, cum, value = q * sum(counts), 0.0, high
+        for b, n in enumerate(counts):
+            if n > 0 and cum <= goal <= cum + n:
+                value = low if b == 0 else low + (high - low) * (b - 1 + (high - low) / bins / 2 + (goal - cum) / n) / (bins - 1)
+                break
+            cum += n
+        out = cls(value)
+        out.counts = counts
+        return out
+
+    @classmethod
+    def single(cls, w: float, weight: float, q: float, bins: int, low: float, high: float) -> Ranked:
+        at = (w - low) / (high - low) * (bins - 1) if high > low else 0.0
+        b = int(at)
+        counts = [0.0] * bins
+        counts[b] += weight * (1 - (at - b))
+        if at > b:
+            counts[b + 1] += weight * (at - b)
+        return cls.of(tuple(counts), q, low, high)
+
+
 LINKAGE = {
     "mean": _mean,
     "sum": lambda a, b: (a[0] + b[0], a[1] + b[1]),
@@ -258,12 +287,22 @@ def lifted_clustering(edges: Edges, lifted: Edges, regularizer: float = 0.5, sto
 def gasp(edges: Edges, criteria: str = "mean", constraints: bool = False, lifted: Edges = (), regularizer: float = 0.0, stop_nodes: int = 1, edge_sizes: list[float] | None = None, **kwargs) -> Labels:
     """Signed agglomeration: the most attractive pair merges; with constraints, the most decided pair merges or is barred."""
     nodes = nodes_of(list(edges) + list(lifted))
-    rule = linkage(criteria, **kwargs)
+    ranked = criteria in ("rank", "quantile", "rank_order")
+    if ranked:
+        q, bins = kwargs.get("q", 0.5), kwargs.get("bins", 40)
+        every = [w for _, _, w in [*edges, *lifted]] or [0.0]
+        low, high = min(every), max(every)
+        rule = lambda a, b: (Ranked.of(tuple(x + y for x, y in zip(a[0].counts, b[0].counts, strict=True)), q, low, high), a[1] + b[1])
+    else:
+        rule = linkage(criteria, **kwargs)
     size = {x: 1.0 for x in nodes}
     barred: dict[int, set[int]] = defaultdict(set)
     weight = lambda k: 1.0 if edge_sizes is None else edge_sizes[k]
     scale = lambda k, w: w * weight(k) if criteria == "sum" else w
-    start = [(u, v, (scale(k, w), weight(k), True)) for k, (u, v, w) in enumerate(edges)] + [(u, v, (w, 1.0, False)) for u, v, w in lifted]
+    if ranked:
+        scale = lambda k, w: Ranked.single(w, weight(k), q, bins, low, high)
+    far = lambda w: Ranked.single(w, 1.0, q, bins, low, high) if ranked else w
+    start = [(u, v, (scale(k, w), weight(k), True)) for k, (u, v, w) in enumerate(edges)] + [(u, v, (far(w), 1.0, False)) for u, v, w in lifted]
     g = Contraction(start, lambda a, b: (*rule(a[:2], b[:2]), a[2] or b[2]))
 
     def priority(u: int, v: int, x) -> float | None:

@@ -74,6 +74,9 @@ def test_signed_agglomeration():
     assert mean[1] == mean[2] == mean[3] != mean[0]
     assert largest[0] == largest[2] == largest[3] != largest[1]
     assert total[0] == total[2] == total[3] != total[1]
+    assert set(kernels.gasp(SIGNED, "rank", q=0.5)) == {0, 1, 2, 3}
+    edge = kernels.Ranked.single(2.0, 1.0, 0.5, 5, 0.0, 4.0)
+    assert edge.counts == (0.0, 0.0, 1.0, 0.0, 0.0)
     with pytest.raises(NotImplementedError):
         kernels.linkage("nothing")
 
