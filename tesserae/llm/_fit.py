@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._tables import small_batches
+from ._text import text_chunks
+
 
 def held_out(column: str, modulus: int, remainder: int) -> F.Column:
     """crc32 of the id as text leaves the remainder; false for a null id."""
@@ -55,9 +58,6 @@ class Rows:
 
 def gather(sample: DataFrame, featurise: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], label_type: str) -> tuple[list[np.ndarray], list]:
     """Features and labels of a bounded sample, computed on executors, ordered by id and text digest."""
-    from ._tables import small_batches
-    from ._text import text_chunks
-
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offs in text_chunks(batch, "text"):
@@ -71,7 +71,7 @@ def gather(sample: DataFrame, featurise: Callable[[np.ndarray, np.ndarray], list
     found = found.sort_by([("place", "ascending")])
     col = found.column("features").combine_chunks()
     offs, flat = col.offsets.to_numpy(), col.values.to_numpy()
-    return [flat[x:y].astype(np.int64) for x, y in zip(offs[:-1], offs[1:], strict=True)], found.column("label").to_pylist()
+    return [flat[x:y] for x, y in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], found.column("label").to_pylist()
 
 
 def sums(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -99,16 +99,16 @@ class Model:
         x *= self.scale.astype(np.float32)
         y = np.array(langs)
         columns = []
+        every = np.arange(y.size)
         self.family_at, self.pair_at = {}, {}
 
         def learn(positive: np.ndarray, rows: np.ndarray) -> int:
-            part = x[rows]
+            part = x if rows is every else x[rows]
             w = hinge(part, np.where(positive[rows], 1.0, -1.0))
             # a margin as large as the median one is read as 0.95, whatever the features' scale
             columns.append(w * (1.5 / max(1e-9, float(np.median(np.abs(part @ w[:-1] + w[-1]))))))
             return len(columns) - 1
 
-        every = np.arange(y.size)
         names = np.array([family[v] for v in langs])
         if len(self.families) > 1:
             for f in self.families:
