@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = (1 << 20) - 64
 
 
 def _inverse(odd: int) -> int:

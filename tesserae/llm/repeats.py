@@ -38,9 +38,9 @@ from .suffixes import sort_suffixes
 
 LENGTH = 200
 #: Bytes of suffix bucket sorted at once.
-BUCKET_BYTES = 1 << 20
+BUCKET_BYTES = 1 << 19
 #: Bytes of a text scanned at once.
-PIECE_BYTES = 1 << 22
+PIECE_BYTES = 1 << 20
 RESULT = ("kept", "n_bytes", "n_removed", "n_spans", "absent")
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -156,7 +156,7 @@ def _context_pass(length: int, piece: int):
                         at_[0].append(r)
                         at_[1].append(o)
                         size += 16
-                if size > 1 << 25:
+                if size > 1 << 24:
                     yield from flush()
                     size = 0
         yield from flush()
