@@ -87,17 +87,16 @@ def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS, last: bool = False)
                     room = 0
         return room
 
+    held = sum(p[2] for s in shelves.values() for p in s)
     for k, t in enumerate(tiers):
         shelf = shelves[t]
-        while shelf:
-            held = sum(p[2] for s in shelves.values() for p in s) if len(shelf) < 64 else t
-            if held < t:
-                break
+        while shelf and held >= t:
             window = [shelf.pop()]
             room = fill(window, t - window[0][2], tiers[k:])
             if room:  # cannot be: enough tokens are held
                 raise AssertionError("window left open")
             full.append((t, window))
+            held -= t
     rest = [p for s in shelves.values() for p in s]
     if not last:
         return full, rest

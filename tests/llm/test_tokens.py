@@ -56,6 +56,21 @@ def test_pack_places_every_token_once(lengths, last):
         assert at == n
 
 
+@pytest.mark.parametrize("lengths", [[1] * 100, [1] * 1000, [2, 1, 3] * 333, [300, *[1] * 200]])
+@pytest.mark.parametrize("last", [False, True])
+def test_pack_many_tiny_pieces(lengths, last):
+    full, rest = packing.pack(lengths, last=last)
+    assert all(sum(n for _, _, n in w) == size for size, w in full)
+    assert sum(size for size, _ in full) + sum(n for _, _, n in rest) == sum(lengths)
+    assert sum(n for _, _, n in rest) == 0 if last else sum(n for _, _, n in rest) < packing.TIERS[-1]
+
+
+def test_packed_table_of_empty_texts(spark):
+    df = spark.createDataFrame([(i, None if i % 2 else "") for i in range(600)], SCHEMA).coalesce(1)
+    got = packing.digest(packing.pack_documents(df)).toPandas()
+    assert sorted(got.doc_id) == list(range(600)) and (got.length == 1).all()
+
+
 def test_steps_are_balanced():
     rng = random.Random(0)
     seqs = [(2048, [(0, 0, n), (1, 0, 2048 - n)]) for n in (rng.randrange(1, 2048) for _ in range(64))]
