@@ -36,6 +36,13 @@ def test_ids_equal_the_library():
         assert _tokens.ids(t, _tokens.default_path()).tolist() == lib.encode(t or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("run", [" " * 1_000_000, "\t" * 3_000_000, "\n " * 40_000, "\u3000\xa0" * 40_000, "\x1c" * 70_000, " " * (_tokens.RUN - 1), " " * _tokens.RUN])
+def test_ids_of_long_runs_equal_the_library(run):
+    lib = Tokenizer.from_file(_tokens.default_path())
+    for t in (run, run + "a", f"it's{run}?{run}\u4f60", f"1{run} b  c"):
+        assert np.array_equal(_tokens.ids(t, _tokens.default_path()), lib.encode(t, add_special_tokens=False).ids)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 7000), max_size=60), st.booleans())
 def test_pack_places_every_token_once(lengths, last):
