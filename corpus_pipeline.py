@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import decontaminate, packing, quality, repeats, simhash, toxicity
+from tesserae.llm import decontaminate, near, packing, quality, repeats, simhash, toxicity
 from tesserae.llm._fit import held_out
 from tesserae.llm._tables import read, settle
 
@@ -28,8 +28,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: that of the smallest id."""
-    return simhash.keep_first(docs).select(*COLUMNS)
+    """One document of each near-duplicate group stays: that of the smallest id.
+
+    SimHash takes the closest copies; of what stays, all of five-word Jaccard similarity 0.8 or more go.
+    """
+    return near.keep_first(simhash.keep_first(docs)).select(*COLUMNS)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ import re
 import numpy as np
 import xxhash
 
-from tesserae.llm import decontaminate, simhash, spotsigs
+import corpus_pipeline
+from tesserae.llm import decontaminate, near, simhash, spotsigs
 
 SCHEMA = "doc_id long, text string"
 WORDS = "the of and to harbor window yellow quiet measure barrel orchard signal velvet copper lantern meadow".split()
@@ -85,6 +86,58 @@ def test_groups_and_kept_rows(spark):
     assert simhash.groups(df.where("false").select("doc_id", "text")).collect() == [] == simhash.keep_first(df.where("false")).collect()
 
 
+def slow_shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def edited_copies():
+    """Texts with copies of some edited words, a line that many share, and odd rows."""
+    rng, line = random.Random(8), sentences(70, 12)
+    out = {}
+    for k in range(25):
+        words = [f"{w}{rng.randrange(9)}" for w in sentences(100 + k, 150).split()]
+        for c in range(4):
+            new = list(words)
+            for at in rng.sample(range(150), c * 2):
+                new[at] = "edited"
+            out[10 * k + c] = " ".join(new) + " " + line
+    return out | {900: None, 901: "", 902: "one two", 903: "One  two", 904: "one three"}
+
+
+def slow_kept(texts):
+    sets = {i: slow_shingles(t) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(texts, 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    return {find(i) for i in texts}
+
+
+def test_near_copies_are_those_of_brute_force(spark):
+    texts = edited_copies()
+    df = spark.createDataFrame(list(texts.items()), SCHEMA).repartition(3)
+    kept = [r.doc_id for r in near.keep_first(df).collect()]
+    assert sorted(kept) == sorted(slow_kept(texts)) and 0 < len(kept) < len(texts) - 25
+    twice = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b"), (None, "c")], SCHEMA)
+    assert sorted((r.doc_id or 0, r.text) for r in near.keep_first(twice).collect()) == [(0, "c"), (1, "a b")]
+    assert near.keep_first(df.where("false")).collect() == []
+
+
+def test_pipeline_stage_leaves_no_near_copies(spark):
+    texts = edited_copies()
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id: r.text for r in corpus_pipeline.simhash_stage(spark, docs, "").collect()}
+    assert slow_kept(kept) == set(kept) and {10 * k for k in range(25)} <= set(kept)
+
+
 def slow_spots(text):
     w = re.findall(r"[^\W\d_]+", (text or "").lower())
     stop = set(spotsigs.ANCHORS)
