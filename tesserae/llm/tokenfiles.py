@@ -95,7 +95,7 @@ def write_tokens(df: DataFrame, folder: str, path: str | None = None, id_col: st
         if first is None:
             return
         fs.create_dir(root)
-        width = _tokens.encoder(path).max_token_value + 1
+        width = _tokens.width(path)
         name, part = f"{root}/ids-{k:06d}.arrows", f"{root}/ids-{k:06d}.{uuid.uuid4().hex}.tmp"
         index: list[pa.RecordBatch] = []
         schema = pa.schema([("name", first.column(0).type), ("start", pa.int64()), ("n", pa.int64())])

@@ -15,13 +15,11 @@ from tesserae.llm import _tokens, packing, reshard, tokenfiles
 from tesserae.llm._tables import filesystem, shared_dir
 
 SCHEMA = "doc_id long, text string"
-ODD = [None, "", " ", "\n\n\n", "a" * 30000, "<|endoftext|> it's", "naïve café — 你好 🙂", "x\ty  z", "tab\t" * 500, "Plain words, twice. Plain words, twice."]
+ODD = [None, "", " ", "\n\n\n", "a" * 30000, "<|endoftext|> it's", "a <|endoftext|> b<|endoftext|><|endoftext|>", "<|endoftext", " <|endoftext|>\n", "naïve café — 你好 🙂", "x\ty  z", "tab\t" * 500, "Plain words, twice. Plain words, twice."]
 
 
 def library():
-    t = Tokenizer.from_file(_tokens.default_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(_tokens.default_path())
 
 
 def table(spark, n=80):
