@@ -7,12 +7,12 @@ map gives any sequence, and any document, by arithmetic and without copying. Ids
 16-bit where the vocabulary allows. A second stream, beside it, has each document's
 name, first id and length.
 
-Ranges are dealt by id (Spark samples the bounds), and each task writes its own pair
+Ranges are dealt by id (Spark samples the bounds), as many as the text's bytes ask for, and each task writes its own pair
 of files under the name of its range and renames them when they are whole, so an
 executor's loss leaves no torn file and a repeated task writes the same bytes.
 
 Edge cases: null or empty text is the end id alone; rows of equal id stand in order of
-their text; a null id comes first; an empty table gives a folder with no files and no
+their text's digest (so that ranges can split them); a null id comes first; an empty table gives a folder with no files and no
 rows; columns besides the two named are ignored.
 """
 
@@ -33,6 +33,8 @@ from . import _tokens
 from ._tables import filesystem, read, settle, shared_dir, small_batches
 
 END, LENGTH, ROWS = 0, 2048, 256
+#: Bytes of text of a range, about; smaller where the session has more shuffle partitions than ranges of this size.
+RANGE_BYTES = 64 << 20
 
 
 def _write(fs: pafs.FileSystem, path: str, schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> None:
@@ -81,7 +83,7 @@ class SequenceWriter:
         self.out.close()
 
 
-def write_tokens(df: DataFrame, folder: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end: int = END, length: int = LENGTH, rows: int = ROWS) -> DataFrame:
+def write_tokens(df: DataFrame, folder: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end: int = END, length: int = LENGTH, rows: int = ROWS, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Write df's ids to folder; returns (range, documents, ids) of each file, in order of range."""
     small_batches(df.sparkSession)
     path = path or _tokens.default_path()
@@ -119,25 +121,53 @@ def write_tokens(df: DataFrame, folder: str, path: str | None = None, id_col: st
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([sum(b.num_rows for b in index)], pa.int64()), pa.array([out.total], pa.int64())], ["range", "documents", "ids"])
 
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = df.select(id_col, text_col).repartitionByRange(n, id_col).sortWithinPartitions(id_col, text_col)
+    size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // range_bytes))
+    # equal ids, and rows without one, are told apart by digest, so that any number of them is split
+    order = [F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))]
+    docs = df.select(id_col, text_col).repartitionByRange(n, *order).sortWithinPartitions(*order, text_col)
     return settle(docs.mapInArrow(scan, "range bigint, documents bigint, ids bigint"), "token-ranges")[0]
 
 
 class SequenceFile:
-    """Random access to a stream file of fixed-size lists; arrays are views of the mapped file."""
+    """Random access to a stream file of fixed-size lists; arrays are views of the mapped file.
+
+    All record batches but the last take equal bytes, so that of any sequence is read from a
+    computed place; HELD batches are kept, whatever the file's size and file system.
+    """
+
+    HELD = 4
 
     def __init__(self, source):
-        self.batches = list(pa.ipc.open_stream(source))
-        self.rows = self.batches[0].num_rows if self.batches else 1
-        self.length = self.batches[0].schema.field("ids").type.list_size if self.batches else 1
-        self._views = [b.column("ids").values.to_numpy() for b in self.batches]
+        self._source, self._kept = source, {}
+        first = pa.ipc.MessageReader.open_stream(source)
+        self.schema = pa.ipc.read_schema(first.read_next_message())
+        self.length = self.schema.field("ids").type.list_size
+        self._start = source.tell()
+        self.rows, self._bytes, self.count = 1, 1, 0
+        if source.size() - self._start > 8:  # more than the end mark
+            self.rows = pa.ipc.read_record_batch(first.read_next_message(), self.schema).num_rows
+            self._bytes = source.tell() - self._start
+            self.count = -(-(source.size() - self._start - 8) // self._bytes)
+
+    def batch(self, k: int) -> pa.RecordBatch:
+        if k not in self._kept:
+            if len(self._kept) >= self.HELD:
+                self._kept.pop(next(iter(self._kept)))
+            self._source.seek(self._start + k * self._bytes)
+            self._kept[k] = pa.ipc.read_record_batch(pa.ipc.read_message(self._source), self.schema)
+        return self._kept[k]
+
+    @property
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        return (self.batch(k) for k in range(self.count))
 
     def sequence(self, i: int) -> tuple[np.ndarray, pa.Array]:
         """Ids (a view) and mask of sequence i."""
         k, row = divmod(i, self.rows)
         at = row * self.length
-        return self._views[k][at : at + self.length], self.batches[k].column("mask").values.slice(at, self.length)
+        held = self.batch(k)
+        return held.column("ids").values.to_numpy()[at : at + self.length], held.column("mask").values.slice(at, self.length)
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """ids[start:start+n] of the file; a view where they lie in one batch."""
@@ -145,7 +175,7 @@ class SequenceFile:
         parts = []
         while n:
             k, at = divmod(start, whole)
-            part = self._views[k][at : at + n]
+            part = self.batch(k).column("ids").values.to_numpy()[at : at + n]
             parts.append(part)
             start, n = start + part.size, n - part.size
         return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint16)

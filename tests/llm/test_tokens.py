@@ -121,13 +121,41 @@ def test_token_files(spark, tmp_path):
         held = tokenfiles.SequenceFile(source)
         ids, mask = held.sequence(0)
         assert ids.size == 64 and ids.dtype == np.uint16 and not ids.flags.owndata and len(mask) == 64
-        assert held.batches[0].column("ids").type == pa.list_(pa.uint16(), 64)
+        assert held.batch(0).column("ids").type == pa.list_(pa.uint16(), 64)
         total = sum(b.column("mask").values.to_numpy(zero_copy_only=False).sum() for b in held.batches)
         assert total == ranges.orderBy("range").first()["ids"]
     empty = tokenfiles.write_tokens(df.where("false"), shared_dir(spark, "none"), id_col="n_tokens")
     assert empty.collect() == []
 
 
+def test_equal_and_missing_ids_are_split(spark):
+    rows = [(None if i % 2 else 7, f"text {i % 300}") for i in range(900)]
+    folder = shared_dir(spark, "tokens-ties")
+    ranges = tokenfiles.write_tokens(spark.createDataFrame(rows, SCHEMA), folder, range_bytes=1000, length=16, rows=2)
+    assert ranges.count() > 4 and max(r.documents for r in ranges.collect()) < 400
+    got = tokenfiles.read_tokens(ranges, folder, "doc_id", "bigint").toPandas().sort_values("start")
+    assert got.start.tolist() == [0, *got.n_tokens.cumsum().tolist()[:-1]] and got.doc_id.isna().tolist() == [True] * 450 + [False] * 450
+    lib = library()
+    assert sorted(got.ids_crc32) == sorted(zlib.crc32(np.array([*lib.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()) for _, t in rows)
+
+
+@pytest.mark.parametrize("sizes", [[], [5], [16] * 8, [40, 0, 3, 200]])
+def test_sequence_file_reads_by_offset(tmp_path, sizes):
+    rng, path = np.random.default_rng(0), str(tmp_path / "f.arrows")
+    ids = [rng.integers(0, 50257, n).astype(np.uint32) for n in sizes]
+    with pa.OSFile(path, "wb") as sink:
+        out = tokenfiles.SequenceWriter(sink, 50257, 16, 2)
+        for x in ids:
+            out.add(x)
+        out.close()
+    for source in (pa.memory_map(path), pa.OSFile(path)):
+        held, at = tokenfiles.SequenceFile(source), 0
+        assert held.count == -(-sum(sizes) // 32)
+        for x in ids:
+            assert np.array_equal(held.ids(at, x.size), x)
+            at += x.size
+
+
 def test_flow_is_least_and_feasible():
     rng = random.Random(4)
     for _ in range(20):
