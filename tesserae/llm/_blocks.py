@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._tables import filesystem, settle, small_batches
@@ -39,6 +39,33 @@ class Blocks:
         zero = F.lit(0).cast("long")
         return self.blocks.select(F.col("__blk").alias("blk"), F.lit(0).alias("kind"), zero.alias("a"), zero.alias("b"))
 
+    @property
+    def place(self) -> Column:
+        """One number for a row's block and row."""
+        return F.col("__blk").cast("long") * (1 << ROW_BITS) + F.col("__row")
+
+    @staticmethod
+    def told(places: DataFrame, column: str) -> DataFrame:
+        """Control rows of kind 1 that name rows by place."""
+        row = F.col(column).bitwiseAND(F.lit((1 << ROW_BITS) - 1)).alias("a")
+        return places.select(F.shiftright(column, ROW_BITS).cast("int").alias("blk"), F.lit(1).alias("kind"), row, F.lit(0).cast("long").alias("b"))
+
+    def chosen(self, places: DataFrame, column: str, columns: list[str], with_place: bool = True) -> DataFrame:
+        """Columns of the named rows, read in their blocks; with_place puts the place before them."""
+
+        def choose(blk: int, told: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = np.sort(told[1][0])
+            for batch in batches:
+                at = batch.column(0).to_numpy()
+                mask = np.isin(at, rows, assume_unique=True)
+                if mask.any():
+                    if with_place:
+                        batch = batch.set_column(0, column, pa.array(at + (blk << ROW_BITS)))
+                    yield batch.filter(pa.array(mask)).select([*([column] if with_place else []), *columns])
+
+        kinds = [f"{n} {self.df.schema[n].dataType.simpleString()}" for n in columns]
+        return self.over(self.told(places, column), columns, choose, ", ".join([*([f"{column} bigint"] if with_place else []), *kinds]))
+
     def over(self, control: DataFrame, columns: list[str], work: Callable[[int, dict, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
         """work(block, {kind: (a, b)}, its batches) for each block that control names."""
         path, wanted = self.path, ["__row", *columns]

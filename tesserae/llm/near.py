@@ -1,11 +1,9 @@
 """Near copies by exact Jaccard similarity of word shingles.
 
-Two sets of similarity t share one of their first n - ceil(t n) + 1 members in any
-order that all sets have in common (prefix filtering), so rows of equal prefix member
-and like sizes are the only candidates, and no pair is lost. The order puts shingles
-that were seen often last, so repeated lines bring few candidates together; how often is
-counted in pieces of PIECE shingles, and only the OFTEN commonest are told apart.
-Each candidate is then checked on the whole sets. Members are 64-bit hashes.
+Sets of hashed shingles are joined by prefix filtering (see _setjoin), which loses no pair.
+The order of members puts shingles that were seen often last, so repeated lines bring few
+sets together; how often is counted in pieces of PIECE shingles, and only the OFTEN commonest
+are told apart. Members are 64-bit hashes.
 
 Edge cases: null or blank text is the set of the empty shingle, fewer words than a
 shingle has are one shingle; an empty table gives none; repeated rows are one group;
@@ -14,43 +12,53 @@ a null id comes last.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._blocks import ROW_BITS, Blocks
-from ._components import components
-from ._tables import settle, small_batches
+from ._setjoin import like_sets, prefix_bound
+from ._text import LOWER, SPACE, mix, prefix_sums, range_hash, runs, text_chunks
+from .simhash import first_places
 
-SIMILARITY, SHINGLE, SEED = 0.8, 5, 42
+SIMILARITY, SHINGLE = 0.8, 5
 #: Shingles counted at a time, and common shingles that the order knows.
 PIECE, OFTEN = 1 << 21, 1 << 17
-#: Candidates of one group that are emitted at a time.
-_SLICE = 1 << 16
-
-
-def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's lower-cased word shingles."""
-    words = (text or b"").lower().split()
-    digest = xxhash.xxh64_digest
-    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
-    return np.unique(np.frombuffer(b"".join([digest(g, SEED) for g in grams]), ">i8").astype(np.int64))
-
-
-def prefix_size(n: int, similarity: float) -> int:
-    return n - math.ceil(round(similarity * n, 9)) + 1
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes | None]]:
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _rolled(words: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(words.size - n + 1, np.uint64)
+    for k in range(n):
+        out *= _STEP
+        out += words[k : words.size - n + 1 + k]
+    return mix(out)
+
+
+def shingles(data: np.ndarray, offs: np.ndarray, shingle: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's lower-cased word shingles."""
+    low = LOWER[data]
+    s, e = runs(~SPACE[low], offs)
+    words = range_hash(prefix_sums(low), s, e)
+    cut = np.searchsorted(s, offs)
+    every = _rolled(words, shingle).view(np.int64) if words.size >= shingle else np.zeros(0, np.int64)
+    out = []
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        if b - a >= shingle:
+            out.append(np.unique(every[a : b - shingle + 1]))
+        else:
+            out.append(_rolled(words[a:b], b - a).view(np.int64) if b > a else np.zeros(1, np.int64))
+    return out
+
+
+def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, shingles) of the rows of batches of a place and a text."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            yield from zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True)
+        for a, b, data, offs in text_chunks(batch, batch.schema.names[1]):
+            yield from zip(batch.column(0)[a:b].to_pylist(), shingles(data, offs, shingle), strict=True)
 
 
 def common(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,9 +70,9 @@ def common(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
             return pa.RecordBatch.from_arrays([pa.array(h[n > 1]), pa.array(n[n > 1])], ["h", "n"])
 
         held, size = [], 0
-        for _, text in _texts(batches):
-            held.append(shingles(text, shingle))
-            size += held[-1].size
+        for _, own in _sets(batches, shingle):
+            held.append(own)
+            size += own.size
             if size >= PIECE:
                 yield told()
                 held, size = [], 0
@@ -77,107 +85,62 @@ def common(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
-def candidates(rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(a, b): pairs of places, a < b, that hold every pair of the similarity."""
+def prefixes(rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(h, pos, n, node): the rarest shingles of every row of place and text, as many as similar sets must share one of."""
     known = rows.sparkSession.sparkContext.broadcast(common(rows, shingle))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, count = known.value
-        for place, text in _texts(batches):
-            s = shingles(text, shingle)
+        cols: list[list] = [[], [], [], []]
+        held = 0
+        for place, s in _sets(batches, shingle):
             seen = np.zeros(s.size, np.int64)
             if often.size:
                 at = np.minimum(np.searchsorted(often, s), often.size - 1)
                 seen = np.where(often[at] == s, count[at], 0)
-            first = s[np.lexsort((s, seen))][: prefix_size(s.size, similarity)]
-            cols = [pa.array(first), pa.array(np.full(first.size, place, np.int64)), pa.array(np.full(first.size, s.size, np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, ["h", "place", "n"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(place: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            # sizes ascend: a row meets the rows after it up to its size over the similarity
-            end = np.searchsorted(n, n / similarity + 1e-6, "right")
-            step = max(1, _SLICE // place.size)
-            for x in range(0, place.size, step):
-                own = np.arange(x, min(x + step, place.size))
-                many = end[own] - own - 1
-                i = np.repeat(own, many)
-                j = np.arange(i.size) - np.repeat(np.cumsum(many) - many, many) + i + 1
-                if i.size:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(place[i], place[j])), pa.array(np.maximum(place[i], place[j]))], ["a", "b"])
-
-        left = None
-        for batch in batches:
-            cols = [c.to_numpy() for c in batch.columns]
-            if not cols[0].size:
-                continue
-            if left is not None:
-                cols = [np.concatenate(x) for x in zip(left, cols, strict=True)]
-            h, place, n = cols
-            start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            for x, y in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
-                if y - x > 1:
-                    yield from pairs(place[x:y], n[x:y])
-            left = [c[start[-1] :] for c in cols]
-        if left is not None and left[0].size > 1:
-            yield from pairs(left[1], left[2])
-
-    prefixes = rows.mapInArrow(scan, "h bigint, place bigint, n bigint")
-    dealt = prefixes.repartition("h").sortWithinPartitions("h", "n")
-    return dealt.mapInArrow(meet, "a bigint, b bigint").distinct()
-
-
-def links(store: Blocks, text_at: str, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """(a, b): all pairs of places whose texts have the similarity."""
-    place = (F.col("__blk").cast("long") * (1 << ROW_BITS) + F.col("__row")).alias("place")
-    met, _ = settle(candidates(store.df.select(place, text_at), similarity, shingle), "near-candidates")
-    wanted = met.select(F.col("a").alias("place")).union(met.select("b")).distinct()
-    row = F.col("place").bitwiseAND(F.lit((1 << ROW_BITS) - 1)).alias("a")
-    told = wanted.select(F.shiftright("place", ROW_BITS).cast("int").alias("blk"), F.lit(1).alias("kind"), row, F.lit(0).cast("long").alias("b"))
+            first = s[np.lexsort((s, seen))][: prefix_bound(s.size, similarity)]
+            held += first.size
+            for c, v in zip(cols, (first, np.arange(first.size, dtype=np.int32), np.full(first.size, s.size, np.int32), np.full(first.size, place, np.int64)), strict=True):
+                c.append(v)
+            if held >= 1 << 16:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["h", "pos", "n", "node"])
+                cols, held = [[], [], [], []], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["h", "pos", "n", "node"])
+
+    return rows.mapInArrow(scan, "h bigint, pos int, n int, node bigint")
+
+
+def like_places(store: Blocks, text_at: str, rows: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """(node, root): places of a store, of those of rows (place, text), whose texts have a like one."""
 
     def sets(blk: int, told: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = np.sort(told[1][0])
+        wanted = np.sort(told[1][0])
         for batch in batches:
-            part = batch.filter(pa.array(np.isin(batch.column(0).to_numpy(), rows, assume_unique=True)))
-            for at, text in _texts(iter([part])):
-                yield pa.RecordBatch.from_arrays([pa.array([(blk << ROW_BITS) + at], pa.int64()), pa.array([shingles(text, shingle).tobytes()], pa.binary())], ["place", "s"])
+            part = batch.filter(pa.array(np.isin(batch.column(0).to_numpy(), wanted, assume_unique=True)))
+            for at, s in _sets(iter([part]), shingle):
+                yield pa.RecordBatch.from_arrays([pa.array([(blk << ROW_BITS) + at], pa.int64()), pa.array([s], pa.list_(pa.int64()))], ["node", "s"])
 
-    held, _ = settle(store.over(told, [text_at], sets, "place bigint, s binary"), "near-sets")
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        return store.over(store.told(nodes, "node"), [text_at], sets, "node bigint, s array<bigint>")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for k in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[k].as_py(), np.int64) for c in (2, 3))
-                shared = np.intersect1d(x, y, assume_unique=True).size
-                keep[k] = shared >= similarity * (x.size + y.size - shared) - 1e-9
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+    return like_sets(prefixes(rows, similarity, shingle), sets_of, similarity, "near")
 
-    small_batches(store.df.sparkSession)
-    sides = met.join(held.select(F.col("place").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("place").alias("b"), F.col("s").alias("sb")), "b")
-    return sides.select("a", "b", "sa", "sb").mapInArrow(check, "a bigint, b bigint")
 
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, radius: int | None = None) -> DataFrame:
+    """df with one row of each group of near copies: the one of smallest id (of repeated ids, one row).
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """df with one row of each group of near copies: the one of smallest id (of repeated ids, one row)."""
+    With a radius, only the first of each SimHash group of three-word shingles takes part, so that
+    closest copies have gone before. Texts are written to a block store once and chosen there.
+    """
     names = [f"c{i}" for i in range(len(df.columns))]
     store = Blocks(df.toDF(*names), "near-rows")
     id_at, text_at = (names[df.columns.index(c)] for c in (id_col, text_col))
-    roots, _ = settle(components(links(store, text_at, similarity, shingle), "near-links"), "near-roots")
-    place = F.col("__blk").cast("long") * (1 << ROW_BITS) + F.col("__row")
-    keys = store.df.select(place.alias("node"), F.struct(F.col(id_at).isNull().alias("none"), F.col(id_at).alias("id"), place.alias("place")).alias("key"))
-    named = roots.join(keys, "node")
-    first = named.groupBy("root").agg(F.min("key").alias("first")).select(F.col("first.place").alias("node"))
-    gone = roots.select("node").join(first, "node", "left_anti")
-    row = F.col("node").bitwiseAND(F.lit((1 << ROW_BITS) - 1)).alias("a")
-    told = gone.select(F.shiftright("node", ROW_BITS).cast("int").alias("blk"), F.lit(1).alias("kind"), row, F.lit(0).cast("long").alias("b"))
-
-    def choose(blk: int, told: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = np.sort(told[1][0]) if 1 in told else np.zeros(0, np.int64)
-        for batch in batches:
-            mask = ~np.isin(batch.column(0).to_numpy(), rows, assume_unique=True)
-            if mask.any():
-                yield batch.filter(pa.array(mask)).select(names)
-
-    schema = ", ".join(f"{n} {df.schema[k].dataType.simpleString()}" for k, n in enumerate(names))
-    return store.over(store.every().union(told), names, choose, schema).toDF(*df.columns)
+    key = F.struct(F.col(id_at).isNull().alias("none"), F.col(id_at).alias("id"), store.place.alias("place"))
+    left = store.df.select(store.place.alias("place")) if radius is None else first_places(store, id_at, text_at, radius)
+    rows = store.df.select(store.place.alias("place"), text_at) if radius is None else store.chosen(left, "place", [text_at])
+    roots = like_places(store, text_at, rows, similarity, shingle)
+    named = roots.join(store.df.select(store.place.alias("node"), key.alias("key")), "node")
+    first = named.groupBy("root").agg(F.min("key").alias("first")).select(F.col("first.place").alias("place"))
+    gone = roots.select(F.col("node").alias("place")).join(first, "place", "left_anti")
+    return store.chosen(left.join(gone, "place", "left_anti"), "place", names, False).toDF(*df.columns)

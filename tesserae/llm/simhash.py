@@ -23,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._blocks import ROW_BITS, Blocks
-from ._components import components
+from ._blocks import Blocks
+from ._components import components, forest
 from ._tables import read, settle, small_batches
 
 RADIUS, SHINGLE, SEED, BLOCKS = 3, 3, 42, 4
@@ -75,21 +75,6 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.select(id_col, text_col).mapInArrow(scan, f"`{id_col}` {kind}, fp bigint")
 
 
-def _forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of links between n rows, as rows and their smallest row."""
-    root = np.arange(n)
-    while True:
-        before = root.copy()
-        low = np.minimum(root[i], root[j])
-        np.minimum.at(root, i, low)
-        np.minimum.at(root, j, low)
-        np.minimum.at(root, before, root)
-        root = root[root]
-        if np.array_equal(before, root):
-            own = np.flatnonzero(root != np.arange(n))
-            return own, root[own]
-
-
 def _tile(a: np.ndarray, b: np.ndarray | None, radius: int, side: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links within a (b None) or between a and b, one tile pair at a time, as spanning forests."""
     other = a if b is None else b
@@ -101,7 +86,7 @@ def _tile(a: np.ndarray, b: np.ndarray | None, radius: int, side: int = 1024) ->
                 i, j = i[i < j], j[i < j]
             if i.size > 2 * (p.size + q.size):
                 rows = np.concatenate([p, q])
-                i, j = _forest(i, j + p.size, rows.size)
+                i, j = forest(i, j + p.size, rows.size)
                 yield rows[i], rows[j]
             elif i.size:
                 yield p[i], q[j]
@@ -192,6 +177,14 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius
     return fps.join(named, "fp").select(id_col, "fp", "component_id")
 
 
+def first_places(store: Blocks, id_at: str, text_at: str, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """(place) of one row of each group of a store: the one of smallest id (of repeated ids, one row)."""
+    # a null id comes last, so that it names a group of its own kind only
+    key = F.struct(F.col(id_at).isNull().alias("none"), F.col(id_at).alias("id"), store.place.alias("place")).alias("key")
+    found = groups(store.df.select(key, F.col(text_at).alias("text")), "key", "text", radius, shingle)
+    return settle(found.select(F.col("component_id.place").alias("place")).distinct(), "simhash-first")[0]
+
+
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """df with one row of each group: the one of smallest id (of repeated ids, one row).
 
@@ -200,23 +193,7 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     names = [f"c{i}" for i in range(len(df.columns))]
     store = Blocks(df.toDF(*names), "simhash-rows")
     id_at, text_at = (names[df.columns.index(c)] for c in (id_col, text_col))
-    place = (F.col("__blk").cast("long") * (1 << ROW_BITS) + F.col("__row")).alias("place")
-    # a null id comes last, so that it names a group of its own kind only
-    key = F.struct(F.col(id_at).isNull().alias("none"), F.col(id_at).alias("id"), place).alias("key")
-    found = groups(store.df.select(key, F.col(text_at).alias("text")), "key", "text", radius, shingle)
-    kept = found.select(F.col("component_id.place").alias("place")).distinct()
-    zero = F.lit(0).cast("long").alias("b")
-    told = kept.select(F.shiftright("place", ROW_BITS).cast("int").alias("blk"), F.lit(1).alias("kind"), F.col("place").bitwiseAND(F.lit((1 << ROW_BITS) - 1)).alias("a"), zero)
-
-    def choose(blk: int, told: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = np.sort(told[1][0])
-        for batch in batches:
-            mask = np.isin(batch.column(0).to_numpy(), rows, assume_unique=True)
-            if mask.any():
-                yield batch.filter(pa.array(mask)).select(names)
-
-    schema = ", ".join(f"{n} {df.schema[k].dataType.simpleString()}" for k, n in enumerate(names))
-    return store.over(told, names, choose, schema).toDF(*df.columns)
+    return store.chosen(first_places(store, id_at, text_at, radius, shingle), "place", names, False).toDF(*df.columns)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
