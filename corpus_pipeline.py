@@ -32,7 +32,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     SimHash takes the closest copies; of what stays, all of five-word Jaccard similarity 0.8 or more go.
     """
-    return near.keep_first(simhash.keep_first(docs)).select(*COLUMNS)
+    return near.keep_first(docs, radius=simhash.RADIUS).select(*COLUMNS)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
