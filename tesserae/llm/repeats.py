@@ -9,7 +9,11 @@ over blocks of documents, none of which shuffles texts:
    occurs once owns no repeated window. Blocks send their distinct anchors only.
 2. For anchors that occur twice, blocks send the bytes of the windows they own,
    equal ones once, keyed by 150 bytes that all windows of a row share.
-3. Rows of a key form a suffix bucket. It is sorted with a difference cover, whose
+   Of anchors that occur more than HOT times (a line that very many texts share), windows
+   are first told apart by STEP neighbouring starts at a time: blocks send the hashes of the
+   bytes that those share, and bytes only where such a hash occurs twice.
+3. Rows of a key form a suffix bucket. Equal rows arrive together and are merged in passing,
+   so a task holds the distinct ones only. It is sorted with a difference cover, whose
    sample ranks settle long ties (suffixes.py); classes of two or more are repeats.
 4. Blocks cut their own documents.
 
@@ -41,6 +45,8 @@ LENGTH = 200
 BUCKET_BYTES = 1 << 19
 #: Bytes of a text scanned at once.
 PIECE_BYTES = 1 << 20
+#: Occurrences of an anchor from which its windows are told apart more finely, and starts taken together then.
+HOT, STEP = 4096, 10
 RESULT = ("kept", "n_bytes", "n_removed", "n_spans", "absent")
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -95,6 +101,14 @@ def _pieces(batch: pa.RecordBatch, length: int, piece: int) -> Iterator[tuple[np
             yield rows[a:b], part, np.array([0, part.size]), at
 
 
+def _counted(found: list[np.ndarray], blk: int) -> Iterator[pa.RecordBatch]:
+    """(h, blk, n): distinct hashes of a block and how often they were found there."""
+    h, n = np.unique(np.concatenate(found), return_counts=True)
+    for at in range(0, h.size, 1 << 16):
+        part = h[at : at + (1 << 16)].view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(part.size, blk, np.int32)), pa.array(n[at : at + (1 << 16)])], ["h", "blk", "n"])
+
+
 def _anchor_pass(length: int, piece: int):
     def work(blk: int, told: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         skip = np.sort(told.get(1, (np.zeros(0, np.int64),))[0])
@@ -102,26 +116,59 @@ def _anchor_pass(length: int, piece: int):
         for batch in batches:
             for rows, data, offs, _ in _pieces(batch, length, piece):
                 found.append(_segments(data, offs, np.isin(rows, skip), length)[3])
-        if not found:
+        if found:
+            yield from _counted(found, blk)
+
+    return work
+
+
+def _member(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
+    if not sorted_.size:
+        return np.zeros(x.size, bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, x), sorted_.size - 1)] == x
+
+
+def _fine(first: np.ndarray, last: np.ndarray, anchor: np.ndarray, prefix: np.ndarray, length: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of window starts cut at every `step` from the anchor, and the hash of what the windows of a step share."""
+    a, b = (first - anchor) // step, (last - anchor) // step
+    n = b - a + 1
+    own = np.repeat(np.arange(n.size), n)
+    k = a[own] + np.arange(own.size) - np.repeat(np.cumsum(n) - n, n)
+    low = anchor[own] + k * step
+    key = range_hash(prefix, low + step - 1, low + length) + k.astype(np.uint64)
+    return np.maximum(first[own], low), np.minimum(last[own], low + step - 1), mix(key)
+
+
+def _fine_pass(length: int, piece: int, step: int):
+    """Counts, in each block, the shared bytes of neighbouring windows of hot anchors (kind 4)."""
+
+    def work(blk: int, told: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if 4 not in told:
             return
-        h, n = np.unique(np.concatenate(found), return_counts=True)
-        h = np.concatenate([h, h[n > 1]]).view(np.int64)
-        for at in range(0, h.size, 1 << 16):
-            part = h[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(part.size, blk, np.int32))], ["h", "blk"])
+        skip, hot = np.sort(told.get(1, (np.zeros(0, np.int64),))[0]), np.sort(told[4][0].view(np.uint64))
+        found = []
+        for batch in batches:
+            for rows, data, offs, _ in _pieces(batch, length, piece):
+                first, last, anchor, h, prefix = _segments(data, offs, np.isin(rows, skip), length)
+                mine = _member(hot, h)
+                found.append(np.unique(_fine(first[mine], last[mine], anchor[mine], prefix, length, step)[2], return_counts=True))
+        if found:
+            # a hash that a part holds twice counts as often
+            yield from _counted([np.repeat(h, np.minimum(n, 2)) for h, n in found], blk)
 
     return work
 
 
-def _context_pass(length: int, piece: int):
+def _context_pass(length: int, piece: int, step: int):
     half = length // 4
 
     def work(blk: int, told: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        skip = np.sort(told.get(1, (np.zeros(0, np.int64),))[0])
-        wanted = np.unique(told.get(2, (np.zeros(0, np.int64),))[0].view(np.uint64))
+        none = (np.zeros(0, np.int64),)
+        skip = np.sort(told.get(1, none)[0])
+        wanted, hot, fine = (np.sort(told.get(k, none)[0].view(np.uint64)) for k in (2, 4, 5))
         held: dict[tuple[int, bytes], tuple[list[int], list[int]]] = {}
         size = 0
-        if not wanted.size:
+        if not wanted.size and not fine.size:
             return
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -136,15 +183,20 @@ def _context_pass(length: int, piece: int):
 
         for batch in batches:
             for rows, data, offs, base in _pieces(batch, length, piece):
-                first, last, anchor, h, prefix = _segments(data, offs, np.isin(rows, skip), length)
-                at = np.minimum(np.searchsorted(wanted, h), wanted.size - 1)
-                first, last, anchor = (x[wanted[at] == h] for x in (first, last, anchor))
+                every = _segments(data, offs, np.isin(rows, skip), length)
+                prefix, mine = every[4], _member(wanted, every[3])
+                first, last, anchor = (x[mine] for x in every[:3])
                 left = first <= anchor - half
                 right = last > anchor - half
-                pieces = (
+                pieces = [
                     (first[left], np.minimum(last, anchor - half)[left], range_hash(prefix, anchor[left] - half, anchor[left] + length // 2)),
                     (np.maximum(first, anchor - half + 1)[right], last[right], range_hash(prefix, anchor[right], anchor[right] + length // 2 + half) + np.uint64(1)),
-                )
+                ]
+                if fine.size:
+                    mine = _member(hot, every[3])
+                    x, y, key = _fine(*(v[mine] for v in every[:3]), prefix, length, step)
+                    mine = _member(fine, key)
+                    pieces.append((x[mine], y[mine], key[mine]))
                 whole = data.tobytes()
                 for x, y, key in pieces:
                     doc = np.searchsorted(offs, x, "right") - 1
@@ -193,61 +245,75 @@ def _repeated(texts: list[bytes], weight: np.ndarray, length: int, bucket: int)
 
 
 def _sorter(length: int, bucket: int):
-    """Streams context rows sorted by key; yields (blk, row, start, end) of repeated stretches."""
+    """Streams context rows sorted by key and bytes; yields (blk, row, start, end) of repeated stretches.
+
+    Of equal rows the first is held until a second comes; then all are put out at once and only
+    the text stays, as heavy. So a key's distinct texts are held, whatever the number of rows.
+    """
 
-    def settle_groups(groups: list[list[tuple]]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: list[bytes] = []  # distinct texts of whole keys, that are sorted together
+        weight: list[int] = []
+        places: list[tuple | None] = []  # of texts of weight 1
+        mates: list[bool] = []  # whether the key has another text
         out: tuple[list, list, list, list] = ([], [], [], [])
-        texts, weights, places = [], [], []
-
-        def put(rows: list[tuple], flag: np.ndarray | None, width: int) -> None:
-            if flag is None:
-                ranges = [(0, width)]
-            else:
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], flag.view(np.int8), [0]])))
-                ranges = [(int(u), int(v) - 1 + length) for u, v in zip(edge[::2], edge[1::2], strict=True)]
+        key, begin, size = None, 0, 0
+
+        def put(rows: tuple, ranges: list[tuple[int, int]]) -> None:
+            blk, row, start = rows
             for u, v in ranges:
-                for blk, row, start in rows:
-                    n = len(row)
-                    out[0].extend([blk] * n)
-                    out[1].extend(row)
-                    out[2].extend([s + u for s in start])
-                    out[3].extend([s + v for s in start])
-
-        for group in groups:
-            same: dict[bytes, list] = {}
-            for text, blk, row, start in group:
-                same.setdefault(text, []).append((blk, row, start))
-            for text, rows in same.items():
-                n = sum(len(r[1]) for r in rows)
-                if n > 1:
-                    put(rows, None, len(text))
-                if len(same) > 1:
-                    texts.append(text)
-                    weights.append(n)
-                    places.append(rows)
-        if texts:
-            for text, n, rows, flag in zip(texts, weights, places, _repeated(texts, np.array(weights), length, bucket), strict=True):
-                if n == 1:
-                    put(rows, flag, len(text))
-        for at in range(0, len(out[0]), 1 << 16):
-            cols = [o[at : at + (1 << 16)] for o in out]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:])], ["blk", "row", "start", "end"])
+                out[0].extend([blk] * len(row))
+                out[1].extend(row)
+                out[2].extend([s + u for s in start])
+                out[3].extend([s + v for s in start])
+
+        def drain() -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(out[0]), 1 << 16):
+                cols = [o[at : at + (1 << 16)] for o in out]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:])], ["blk", "row", "start", "end"])
+            for o in out:
+                o.clear()
+
+        def sort() -> None:
+            nonlocal size
+            own = [i for i, m in enumerate(mates) if m]
+            if own:
+                flags = _repeated([texts[i] for i in own], np.array([weight[i] for i in own]), length, bucket)
+                for i, flag in zip(own, flags, strict=True):
+                    if weight[i] == 1:
+                        edge = np.flatnonzero(np.diff(np.concatenate([[0], flag.view(np.int8), [0]])))
+                        put(places[i], [(int(u), int(v) - 1 + length) for u, v in zip(edge[::2], edge[1::2], strict=True)])
+            for x in (texts, weight, places, mates):
+                x.clear()
+            size = 0
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: list[list[tuple]] = []
-        now, size = None, 0
         for batch in batches:
-            for key, text, blk, rows, starts in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if key != now:
+            for k, text, blk, rows, starts in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                own = (blk, rows, starts)
+                if k != key:
+                    mates += [len(texts) - begin > 1] * (len(texts) - begin)
                     if size >= bucket:
-                        yield from settle_groups(groups)
-                        groups, size = [], 0
-                    groups.append([])
-                    now = key
-                groups[-1].append((text, blk, rows, starts))
+                        sort()
+                        yield from drain()
+                    key, begin = k, len(texts)
+                elif texts[-1] == text:
+                    if weight[-1] == 1:
+                        put(places[-1], [(0, len(text))])
+                        places[-1] = None
+                    weight[-1] += len(rows)
+                    put(own, [(0, len(text))])
+                    if len(out[0]) >= 1 << 18:
+                        yield from drain()
+                    continue
+                texts.append(text)
+                weight.append(len(rows))
+                places.append(own if len(rows) == 1 else None)
+                if len(rows) > 1:
+                    put(own, [(0, len(text))])
                 size += len(text)
-        if groups:
-            yield from settle_groups(groups)
+        mates += [len(texts) - begin > 1] * (len(texts) - begin)
+        sort()
+        yield from drain()
 
     return scan
 
@@ -275,7 +341,7 @@ def _whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[i
     return out
 
 
-def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH, characters: bool = False, bucket: int = BUCKET_BYTES, piece: int = PIECE_BYTES) -> DataFrame:
+def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH, characters: bool = False, bucket: int = BUCKET_BYTES, piece: int = PIECE_BYTES, hot: int = HOT) -> DataFrame:
     """df with columns kept, n_bytes, n_removed and n_spans added.
 
     kept is binary: the bytes that stay, concatenated. With characters=True a
@@ -289,11 +355,15 @@ def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH,
     copies, _ = settle(digests.join(copied, ["digest", "n"]).select(F.col("__blk").alias("blk"), F.col("__row").alias("row"), "n", (place == F.col("first")).alias("first")), "repeats-copies")
     zero = F.lit(0).cast("long").alias("b")
     skip = copies.where("not first").select("blk", F.lit(1).alias("kind"), F.col("row").alias("a"), zero)
-    anchors = store.over(store.every().union(skip), ["text"], _anchor_pass(length, piece), "h bigint, blk int")
-    twice = anchors.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
-    wanted = twice.select("blk", F.lit(2).alias("kind"), F.col("h").alias("a"), zero)
-    contexts = store.over(wanted.union(skip), ["text"], _context_pass(length, piece), "key bigint, bytes binary, blk int, rows array<bigint>, starts array<bigint>")
-    spans = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(_sorter(length, bucket), "blk int, row bigint, start bigint, end bigint")
+    anchors = store.over(store.every().union(skip), ["text"], _anchor_pass(length, piece), "h bigint, blk int, n bigint")
+    total = F.sum("n").over(Window.partitionBy("h"))
+    twice, _ = settle(anchors.withColumn("n", total).where("n > 1"), "repeats-anchors")
+    wanted = twice.select("blk", F.when(F.col("n") > hot, 4).otherwise(2).alias("kind"), F.col("h").alias("a"), zero)
+    if not wanted.where("kind = 4").isEmpty():
+        shared = store.over(wanted.where("kind = 4").union(skip), ["text"], _fine_pass(length, piece, STEP), "h bigint, blk int, n bigint")
+        wanted = wanted.union(shared.withColumn("n", total).where("n > 1").select("blk", F.lit(5).alias("kind"), F.col("h").alias("a"), zero))
+    contexts = store.over(wanted.union(skip), ["text"], _context_pass(length, piece, STEP), "key bigint, bytes binary, blk int, rows array<bigint>, starts array<bigint>")
+    spans = contexts.repartition("key").sortWithinPartitions("key", "bytes").mapInArrow(_sorter(length, bucket), "blk int, row bigint, start bigint, end bigint")
     # kind 3: a row, and a span as start * 2**31 + length
     told = spans.select("blk", F.lit(3).alias("kind"), F.col("row").alias("a"), (F.col("start") * (1 << 31) + (F.col("end") - F.col("start"))).alias("b"))
     whole = copies.select("blk", F.lit(3).alias("kind"), F.col("row").alias("a"), F.col("n").alias("b"))

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tesserae.llm import repeats
 from tesserae.llm.suffixes import COVER, PERIOD, sort_suffixes
@@ -73,11 +74,21 @@ def test_against_brute_force(spark):
 def test_buckets_and_pieces_of_any_size_agree(spark):
     texts = make_texts()
     docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(2)
-    for bucket in (1000, 20000):
-        got = {r.doc_id: r.n_removed for r in repeats.remove_repeats(docs, bucket=bucket, piece=bucket // 3).collect()}
+    for bucket, hot in ((1000, repeats.HOT), (20000, 1), (1000, 4)):
+        got = {r.doc_id: r.n_removed for r in repeats.remove_repeats(docs, bucket=bucket, piece=bucket // 3, hot=hot).collect()}
         assert got == {i: w[1] for i, w in enumerate(brute(texts))}
 
 
+def test_a_line_of_very_many_texts(spark):
+    """A shared line of 180 bytes in 20000 contexts, some of which repeat: no task gets the line's contexts."""
+    line = "".join(map(chr, np.random.default_rng(1).integers(97, 123, 180)))
+    docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.concat(F.sha2(F.col("id").cast("string"), 512), F.lit(line), F.sha2((F.col("id") % 19990).cast("string"), 512)).alias("text")).repartition(6)
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in repeats.remove_repeats(docs).select("doc_id", "n_removed", "n_spans").collect()}
+    # ten pairs share the line and what follows it
+    again = {*range(10), *range(19990, 20000)}
+    assert len(got) == 20000 and all(got[i][0] >= 308 if i in again else got[i] == (0, 0) for i in got)
+
+
 def test_whole_characters(spark):
     texts = ["é" * 200, "x" + "é" * 199 + "è", "é" * 120 + "ü" * 120, "plain"]
     out = repeats.remove_repeats(spark.createDataFrame(list(enumerate(texts)), SCHEMA), characters=True).collect()
