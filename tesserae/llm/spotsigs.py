@@ -1,20 +1,23 @@
 """SpotSigs fingerprints from built-in functions only.
 
 A spot signature is a common-word anchor with the two content words that follow it.
-Words are runs of letters of the lower-cased text. The text is cut into content words,
-each with the common words before it; zipping that list with itself shifted by one
-gives every anchor its chain in linear time. A document's fingerprint is the set of its
-signatures' hashes (32 bits), in order. A text of fewer than FEW spots also gets its
-pairs of neighbouring words, and one without any word the hash of the raw text.
-
-Likeness is the Jaccard similarity of the sets. For search, sets are partitioned by
-length: sets of similarity t differ in length by a factor of at most 1/t, so a set
-meets only its own and the next partition of lengths, and within those only sets that
-share one of its rarest signatures (prefix filtering); that loses no pair.
+Words are runs of letters of the lower-cased text. Words are told apart as common or content
+one by one; the text is then cut after each content word, so that a part is one content word
+with the common words before it, and zipping the parts with themselves shifted by one gives
+every anchor its chain, in linear time and without a regular expression that repeats. A
+document's fingerprint is the set of its signatures' hashes (32 bits), in order. There is one
+kind of signature for all texts; only one without any spot is represented by its own hash.
+
+Likeness is the Jaccard similarity of the sets. Near groups join sets of likeness 0.8 or more:
+sets are partitioned by length, since sets of similarity t differ in length by a factor of at
+most 1/t and a set meets only its own and the next partition; in those, only sets that share
+one of their rarest signatures early enough for the similarity to be in reach are compared
+(see _setjoin); that loses no pair. Equal sets take part once.
 
 Edge cases: null is an empty text; empty texts are all alike; repeated rows are
-fingerprinted each; the next document of repeated ids is their next row by text; a null
-id comes last in descending order; an empty table gives no rows; other columns are ignored.
+fingerprinted each; the next document of repeated ids is their next row by digest of the text; a
+null id comes last in descending order, and names a group only if no other id is in it; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,19 +25,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._tables import read
+from ._setjoin import like_sets, prefix_size
+from ._tables import read, settle
 
 #: Anchors: the commonest function words of English, Spanish, French, German.
 ANCHORS = """the of and to in a is that for it as was with be by on this at from are an or not which have had
 el la los las de que y en un una por con para su se del al lo es no como
 le les des du et est une dans qui que pour pas sur au avec ce il elle sont ne ou
 der die das und den von zu mit sich dem ist ein eine nicht auf als auch es an im""".split()
-#: A text of fewer spots also gets its pairs of neighbouring words.
-FEW = 8
-#: Common words in a row that anchor one chain; of a longer run, every next one is taken as content
-#: (an unbounded repetition would recurse once a word in Java's matcher).
-RUN = 16
-CELLS = 8192
+SIMILARITY = 0.8
+#: Commonest signatures that come last in the order of prefixes (others go by hash); any number is exact.
+OFTEN = 1000
+#: Bytes of text of a range of ids, about, and the most ranges (three rows of each reach the driver).
+RANGE_BYTES, RANGES = 32 << 20, 1 << 17
+_MARK = "\x01"
 
 
 def with_signatures(df: DataFrame, text_col: str, name: str, anchors: list[str] = ANCHORS) -> DataFrame:
@@ -42,22 +46,18 @@ def with_signatures(df: DataFrame, text_col: str, name: str, anchors: list[str]
 
     In steps, each a column that is used more than once, so that none is evaluated anew.
     """
-    stop = "|".join(sorted(set(anchors)))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    low = F.concat(F.regexp_replace(F.lower(text), "[^\\p{L}]+", " "), F.lit(" "))
-    # each part: any common words, then one word (a content word, but at the text's end)
-    part = F.transform(F.regexp_extract_all(low, F.lit(f"((?:(?:{stop}) ){{0,{RUN}}})([^ ]+) "), F.lit(0)), lambda x: F.rtrim(x))
-    df = df.withColumn(f"__{name}", part)
+    words = F.split(F.trim(F.regexp_replace(F.lower(text), "[^\\p{L}]+", " ")), " ")
+    common = sorted(set(anchors))
+    marked = F.array_join(F.transform(words, lambda w: F.concat(w, F.when(w.isin(common), F.lit(_MARK)).otherwise(F.lit(" ")))), "")
+    df = df.withColumn(f"__{name}", F.split(marked, " "))
     parts = F.col(f"__{name}")
-    zipped = F.zip_with(parts, F.slice(parts, 2, 1 << 30), lambda x, y: F.struct(F.split(x, " ").alias("x"), F.substring_index(y, " ", -1).alias("y")))
-    chained = F.filter(zipped, lambda z: z["y"].isNotNull() & (F.size(z["x"]) > 1))
+    zipped = F.zip_with(parts, F.slice(parts, 2, 1 << 30), lambda x, y: F.struct(F.split(x, _MARK).alias("x"), F.substring_index(y, _MARK, -1).alias("y")))
+    chained = F.filter(zipped, lambda z: (z["y"] != "") & (F.size(z["x"]) > 1))
     spots = F.flatten(F.transform(chained, lambda z: F.transform(F.slice(z["x"], 1, F.size(z["x"]) - 1), lambda a: F.hash(a, F.element_at(z["x"], -1), z["y"]))))
-    df = df.withColumn(f"__{name}", spots)
-    spots = F.col(f"__{name}")
-    words = F.split(F.trim(low), " ")
-    pairs = F.zip_with(words, F.slice(words, 2, 1 << 30), lambda x, y: F.hash(x, y))
-    few = F.when(F.trim(low) != "", F.concat(spots, pairs)).otherwise(F.array(F.hash(text)))
-    return df.withColumn(name, F.array_sort(F.array_distinct(F.when(F.size(spots) >= FEW, spots).otherwise(few)))).drop(f"__{name}")
+    df = df.withColumn(f"__{name}", F.array_sort(F.array_distinct(spots)))
+    found = F.col(f"__{name}")
+    return df.withColumn(name, F.when(F.size(found) > 0, found).otherwise(F.array(F.hash(text)))).drop(f"__{name}")
 
 
 def fingerprint(signatures: Column) -> Column:
@@ -76,76 +76,92 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return with_signatures(docs.select(id_col, F.col(text_col).cast("string").alias("__text")), "__text", "signatures").drop("__text")
 
 
-def near_pairs(sets: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", set_col: str = "signatures") -> DataFrame:
-    """(a, b, likeness) of distinct sets' representatives with likeness >= threshold, a < b.
+def near_groups(sets: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", set_col: str = "signatures", node_col: str = "node", often: int = OFTEN) -> DataFrame:
+    """(node_col, near_group): rows that have a near one, and the smallest id reached over likeness >= similarity.
 
-    Equal sets are represented by their smallest id (see `classes`).
+    sets: a settled table of distinct longs (node_col), ids and sets.
     """
+    s = F.col(set_col)
+    digest = [F.xxhash64(s).alias("d1"), F.xxhash64(F.lit(1), s).alias("d2"), F.size(s).alias("n")]
+    rows = sets.select(F.col(node_col).alias("node"), F.col(id_col).alias("id"), *digest)
+    reps, _ = settle(rows.groupBy("d1", "d2", "n").agg(F.min("node").alias("node"), F.min("id").alias("id"), F.count("*").alias("c")), "spots-classes")
+    top = sets.select(F.explode(s).alias("x")).agg(F.expr(f"approx_top_k(x, {often}, {32 * often})").alias("t")).first()["t"]
+    common = F.array(*[F.lit(int(r["item"])) for r in top]) if top else F.array().cast("array<int>")
+    ordered = F.concat(F.array_except("s", common), F.array_intersect("s", common))
+    own = sets.select(F.col(node_col).alias("node"), s.alias("s")).join(reps.select("node"), "node", "left_semi")
+    own = own.select("node", F.size("s").alias("n"), ordered.alias("o"))
+    # a set of n members lies in length partition floor(log n / -log t); it meets its own and the next
+    part = F.floor(F.log("n") / F.lit(-_log(similarity))).cast("long")
+    entries = own.select("node", "n", part.alias("part"), F.posexplode(F.slice("o", F.lit(1), prefix_size(F.col("n"), similarity))).alias("pos", "x"))
+    entries = entries.select(F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"), "x", "pos", "n", "node")
+    entries = entries.select(F.xxhash64("x", "part").alias("h"), "pos", "n", "node")
+    roots = like_sets(entries, lambda nodes: sets.select(F.col(node_col).alias("node"), s.alias("s")).join(nodes, "node", "left_semi"), similarity, "spots")
+    named = reps.join(roots.toDF("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = named.groupBy("root").agg(F.min("id").alias("near_group"), F.sum("c").alias("size")).where("size > 1")
+    named = named.join(first, "root").select("d1", "d2", "n", "near_group")
+    return rows.join(named, ["d1", "d2", "n"]).select(F.col("node").alias(node_col), "near_group")
+
+
+def _log(x: float) -> float:
     import math
 
-    own = sets.groupBy(set_col).agg(F.min(id_col).alias("id")).select("id", F.col(set_col).alias("s"), F.size(set_col).alias("n"))
-    step = -math.log(threshold)
-    part = F.floor(F.log(F.col("n")) / step).cast("int")
-    often = own.select(F.explode("s").alias("x")).groupBy("x").count()
-    ranked = own.select("id", "n", F.explode("s").alias("x")).join(often, "x")
-    order = Window.partitionBy("id").orderBy("count", "x")
-    prefix = F.col("n") - F.ceil(F.round(F.lit(threshold) * F.col("n"), 9)) + 1
-    rare = ranked.withColumn("k", F.row_number().over(order)).where(F.col("k") <= prefix).select("id", "n", "x", part.alias("part"))
-    left = rare.select(F.col("id").alias("a"), F.col("n").alias("na"), "x", F.explode(F.array("part", F.col("part") + 1)).alias("part"))
-    right = rare.select(F.col("id").alias("b"), F.col("n").alias("nb"), "x", "part")
-    met = left.join(right, ["x", "part"]).where("a <> b and nb >= na and na >= nb * " + repr(threshold - 1e-9))
-    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sa, sb = own.select(F.col("id").alias("a"), F.col("s").alias("sa")), own.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    return met.join(sa, "a").join(sb, "b").select("a", "b", likeness(F.col("sa"), F.col("sb")).alias("likeness")).where(F.col("likeness") >= threshold)
-
-
-def classes(sets: DataFrame, id_col: str = "doc_id", set_col: str = "signatures") -> DataFrame:
-    """(id_col, class_id): class_id is the smallest id with an equal set."""
-    least = sets.groupBy(set_col).agg(F.min(id_col).alias("class_id"))
-    return sets.join(least, set_col).select(id_col, "class_id")
-
-
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, text, signatures, next, next_signatures): each row with its next in descending order of id.
-
-    The last row is followed by the first. Texts are dealt once into ranges of ids: rows are
-    counted in CELLS cells of equal width, and neighbouring cells are joined into ranges of
-    like counts. Each range also gets a copy of the first row of the range after it, named
-    by id and digest, so no window spans the table. Broadcast are a row a cell and a range.
+    return math.log(x)
+
+
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(id_col, text, next): each row with its next in descending order of id, the last with the first.
+
+    Texts are dealt once into ranges of ids. Bounds are quantiles of the ids, so their spread
+    does not matter; an id that is a bound has a range to itself, and so has the missing one, and a
+    range of more rows than its share is split by digest. Each range also gets a copy of the first
+    row of the range after it, named by id and digest, so no window spans the table. Per range,
+    three rows reach the driver.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    ends = rows.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).first()
-    lo, hi = (ends.lo or 0, ends.hi or 0)
-    # cell 0 has the largest ids; null ids come last
-    at = F.floor((F.lit(hi) - F.col("id")).cast("double") * CELLS / (float(hi) - float(lo) + 1))
-    rows = rows.withColumn("cell", F.coalesce(F.least(at, F.lit(CELLS - 1)), F.lit(CELLS)).cast("int"))
-    counts = sorted((r["cell"], r["count"]) for r in rows.groupBy("cell").count().collect())
-    goal = max(1, ends.n // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    cells, seen = [], 0
-    for cell, n in counts:
-        cells.append((cell, seen // goal))
-        seen += n
-    table = spark.createDataFrame(cells, "cell int, range int")
-    dealt = rows.join(F.broadcast(table), "cell").select("id", "text", "range")
-    first = F.min(F.struct(F.col("id").isNull(), (-F.col("id")).alias("o"), F.md5("text").alias("digest"), "id"))
-    heads = sorted((r["range"], r["h"]["id"], r["h"]["digest"]) for r in dealt.groupBy("range").agg(first.alias("h")).collect())
-    known = [(r, i, d, heads[k - 1][0]) for k, (r, i, d) in enumerate(heads)]
+    size = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n")).first()
+    count = min(RANGES, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), (size.bytes or 0) // range_bytes + 1))
+    share = max(1, size.n // count)
+    cuts = rows.agg(F.percentile_approx("id", [k / count for k in range(1, count)], 10 * count).alias("q")).first().q or [0]
+    cuts = sorted(set(cuts), reverse=True)
+    # descending ids: range 2k lies between bounds k - 1 and k, range 2k + 1 is bound k; null ids come last
+    step = max(1, int(len(cuts) ** 0.5))
+    tall = [cuts[k : k + step] for k in range(0, len(cuts), step)]
+    lows = F.array(*[F.lit(t[-1]) for t in tall])
     kind = docs.schema[id_col].dataType.simpleString()
-    dealt = dealt.join(F.broadcast(spark.createDataFrame(known, f"range int, head {kind}, digest string, before int")), "range")
-    head = F.col("id").eqNullSafe(F.col("head")) & (F.md5("text") == F.col("digest"))
-    own = F.struct("range", F.lit(0).alias("copy"))
-    places = F.when(head, F.array(own, F.struct(F.col("before").alias("range"), F.lit(1).alias("copy")))).otherwise(F.array(own))
-    both = with_signatures(dealt.select("id", "text", places.alias("p")), "text", "signatures").select("id", "text", "signatures", F.explode("p").alias("p")).select("id", "text", "signatures", "p.range", "p.copy")
-    order = Window.partitionBy("range").orderBy("copy", F.col("id").desc_nulls_last(), F.md5("text"))
-    both = both.select("id", "copy", "text", "signatures", F.lead("text").over(order).alias("next"), F.lead("signatures").over(order).alias("next_signatures"))
-    return both.where("copy = 0").select(F.col("id").alias(id_col), "text", "signatures", "next", "next_signatures")
+    fine = spark.createDataFrame(list(enumerate(tall)), f"at int, fine array<{kind}>")
+    rows = rows.withColumn("at", F.size(F.filter(lows, lambda b: b > F.col("id")))).join(F.broadcast(fine), "at", "left")
+    at, inner = F.col("at"), F.coalesce("fine", F.array().cast(f"array<{kind}>"))
+    k = at * step + F.size(F.filter(inner, lambda b: b > F.col("id")))
+    band = F.when(F.col("id").isNull(), 2 * len(cuts) + 1).otherwise(2 * k + F.array_contains(inner, F.col("id")).cast("int"))
+    rows = rows.select("id", "text", band.cast("int").alias("band"))
+    parts = [(r["band"], r["count"] // share + 1 if r["band"] % 2 else 1) for r in rows.groupBy("band").count().collect()]
+    split = [(b, p) for b, p in parts if p > 1]
+    pieces = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for bp in split for x in bp]), F.col("band")), F.lit(1)) if split else F.lit(1)
+    first_bits = F.conv(F.substring(F.md5("text"), 1, 7), 16, 10).cast("long")
+    dealt = rows.select("id", "text", "band", F.floor(first_bits * pieces / F.lit(1 << 28)).cast("int").alias("piece"))
+    head = F.min(F.struct(F.col("id").isNull(), (-F.col("id")).alias("o"), F.md5("text").alias("digest"), "id"))
+    heads = sorted((r["band"], r["piece"], r["h"]["id"], r["h"]["digest"]) for r in dealt.groupBy("band", "piece").agg(head.alias("h")).collect()) if size.n else []
+    known = [(b, p, i, d, *heads[k - 1][:2]) for k, (b, p, i, d) in enumerate(heads)]
+    dealt = dealt.join(F.broadcast(spark.createDataFrame(known, f"band int, piece int, head {kind}, digest string, before int, before_piece int")), ["band", "piece"])
+    first = F.col("id").eqNullSafe(F.col("head")) & (F.md5("text") == F.col("digest"))
+    own = F.struct("band", "piece", F.lit(0).alias("copy"))
+    places = F.when(first, F.array(own, F.struct(F.col("before").alias("band"), F.col("before_piece").alias("piece"), F.lit(1).alias("copy")))).otherwise(F.array(own))
+    both = dealt.select("id", "text", F.explode(places).alias("p")).select("id", "text", "p.*")
+    order = Window.partitionBy("band", "piece").orderBy("copy", F.col("id").desc_nulls_last(), F.md5("text"))
+    both = both.select("id", "copy", "text", F.lead("text").over(order).alias("next"))
+    return both.where("copy = 0").select(F.col("id").alias(id_col), "text", "next")
 
 
 def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = with_next(read(spark, sf_dir, "documents"))
     third = F.floor(F.length("text") / 3).cast("int")
-    edited = F.concat(F.left("text", F.length("text") - third), F.left("next", third))
-    rows = with_signatures(pairs.withColumn("edited", edited), "edited", "edited_signatures")
-    own, changed, following = (F.col(c) for c in ("signatures", "edited_signatures", "next_signatures"))
-    return rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), fingerprint(own).alias("fingerprint"), fingerprint(changed).alias("edited_fingerprint"), likeness(own, changed).alias("near_edited"), likeness(own, following).alias("near_next"))
+    rows = pairs.withColumn("edited", F.concat(F.left("text", F.length("text") - third), F.left("next", third)))
+    for text in ("text", "edited", "next"):
+        rows = with_signatures(rows, text, f"{text}_set")
+    own, changed, following = (F.col(f"{c}_set") for c in ("text", "edited", "next"))
+    rows = rows.select(F.monotonically_increasing_id().alias("node"), "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), own.alias("own"), changed.alias("changed"), likeness(own, changed).alias("near_edited"), likeness(own, following).alias("near_next"))
+    rows, _ = settle(rows, "spots")
+    groups, _ = settle(near_groups(rows, set_col="own"), "spots-groups")
+    rows = rows.join(groups, "node", "left")
+    return rows.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("changed")).alias("edited_fingerprint"), "near_edited", "near_next", F.coalesce("near_group", "doc_id").alias("near_group"))

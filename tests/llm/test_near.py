@@ -8,8 +8,11 @@ import re
 import numpy as np
 import xxhash
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from tesserae.llm import decontaminate, near, simhash, spotsigs
+from tesserae.llm import _components, _setjoin, decontaminate, near, simhash, spotsigs
+from tesserae.llm._tables import settle
 
 SCHEMA = "doc_id long, text string"
 WORDS = "the of and to harbor window yellow quiet measure barrel orchard signal velvet copper lantern meadow".split()
@@ -152,15 +155,20 @@ def slow_spots(text):
 
 
 def test_spots_are_anchored_chains(spark):
-    texts = [sentences(k, 60) + " lantern" for k in range(6)]
+    texts = [sentences(k, 60) + " lantern" for k in range(6)] + [sentences(k, k) for k in range(12)] + ["of the and " * 20 + "copper velvet", "the copper", "The, copper! velvet of the", "copper velvet"]
     df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
     got = {r.doc_id: len(r.signatures) for r in spotsigs.signatures(df).collect()}
-    many = {i: len(slow_spots(t)) for i, t in enumerate(texts) if len(slow_spots(t)) >= spotsigs.FEW}
-    assert {i: got[i] for i in many} == many and many
+    assert got == {i: max(1, len(slow_spots(t))) for i, t in enumerate(texts)}
+
+
+def slow_likeness(a, b):
+    x, y = (slow_spots(t) or {t or ""} for t in (a, b))
+    return len(x & y) / len(x | y)
 
 
 def test_next_document_and_edit(spark, tmp_path):
-    rows = [(i * 3, sentences(i, i * 2)) for i in range(1, 90)] + [(None, "null id"), (300, None), (301, "")]
+    base = sentences(500, 200)
+    rows = [(i * 3, sentences(i, i * 2)) for i in range(1, 90)] + [(None, "null id"), (300, None), (301, ""), (10**15, base), (-(10**15), base + " velvet copper"), (10**15 + 9, base)]
     spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, signatures int").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r for r in spotsigs.op2_spotsigs(spark, str(tmp_path)).collect()}
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
@@ -169,28 +177,77 @@ def test_next_document_and_edit(spark, tmp_path):
         third = len(t) // 3
         edited = t[: len(t) - third] + n[:third]
         assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= got[i].near_next <= 1
+        assert abs(got[i].near_edited - slow_likeness(t, edited)) < 1e-9 and abs(got[i].near_next - slow_likeness(t, n)) < 1e-9
         if t == edited:
             assert got[i].near_edited == 1 and got[i].fingerprint == got[i].edited_fingerprint
+    assert {got[i].near_group for i in (10**15, -(10**15), 10**15 + 9)} == {-(10**15)} and got[301].near_group == got[300].near_group == 300
 
 
-def test_near_pairs_against_all_pairs(spark):
+def test_next_of_tied_and_missing_ids(spark):
+    rows = [(None if i % 2 else 7, f"text {i}") for i in range(400)] + [(9, "first"), (3, "third")]
+    got = spotsigs.with_next(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashlib.md5(r[1].encode()).hexdigest()))
+    assert {(r.doc_id, r.text, r.next) for r in got} == {(*a, b[1]) for a, b in zip(order, order[1:] + order[:1], strict=True)} and len(got) == len(rows)
+
+
+def test_near_groups_against_all_pairs(spark):
     texts = []
     for k in range(12):
         t = sentences(k, 80)
-        texts += [t, t + " copper", t[: len(t) * 3 // 4]]
-    sets = spotsigs.signatures(spark.createDataFrame(list(enumerate(texts)), SCHEMA))
+        texts += [t, t + " copper", t[: len(t) * 3 // 4], t + " copper"]
+    texts += [None, "", "copper", "of the copper"] + [f"the common start of it {'and velvet copper ' * 3} {sentences(900 + k, 12)}" for k in range(15)]
+    sets = spotsigs.signatures(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).withColumn("node", F.col("doc_id") + 5)
+    sets, _ = settle(sets, "test-sets")
     held = {r.doc_id: frozenset(r.signatures) for r in sets.collect()}
-    first = {}
-    for i in sorted(held):
-        first.setdefault(held[i], i)
-    want = {(a, b) for a, b in itertools.combinations(sorted(first.values()), 2) if len(held[a] & held[b]) / len(held[a] | held[b]) >= 0.7}
-    assert {(r.a, r.b) for r in spotsigs.near_pairs(sets, 0.7).collect()} == want and want
+    for similarity in (0.7, 0.8, 0.3):
+        root = {i: i for i in held}
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in itertools.combinations(held, 2):
+            if len(held[a] & held[b]) >= similarity * len(held[a] | held[b]):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+        want = {i: find(i) for i in held}
+        for often in (1000, 3):
+            got = {r.node - 5: r.near_group for r in spotsigs.near_groups(sets, similarity, often=often).collect()}
+            assert got == {i: r for i, r in want.items() if list(want.values()).count(r) > 1} and got
+
+
+def test_pieces_of_frequent_members_meet(spark, monkeypatch):
+    rng = random.Random(5)
+    sets = {i: sorted({rng.randrange(12) for _ in range(rng.randrange(1, 7))}) for i in range(120)}
+    df, _ = settle(spark.createDataFrame(list(sets.items()), "node long, s array<long>"), "test-sets")
+    entries = df.select("node", F.size("s").alias("n"), F.posexplode("s").alias("pos", "h")).select("h", "pos", "n", "node")
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sets, 2):
+        if len({*sets[a]} & {*sets[b]}) >= 0.5 * len({*sets[a], *sets[b]}):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    for rounds, piece in ((0, 3), (2, 5), (1, 4096)):
+        got = {r.node: r.root for r in _setjoin.like_sets(entries, lambda nodes: df.join(nodes, "node"), 0.5, "test", rounds, piece).collect()}
+        assert {i: got.get(i, i) for i in sets} == {i: find(i) for i in sets}
+
+
+def test_components_by_one_task_and_by_rounds(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    one, many = ({(r.node, r.root) for r in _components.components(df, small=n).collect()} for n in (1 << 20, 0))
+    assert one == many and len(one) > 50 and _components.components(df.where("false")).collect() == []
 
 
 def test_spots_of_odd_texts(spark):
-    df = spark.createDataFrame([(1, "of " * 50000), (2, "x" * 100000), (3, "123 !!"), (4, None), (5, "The")], SCHEMA)
-    assert all(len(r.signatures) >= 1 for r in spotsigs.signatures(df).collect())
+    df = spark.createDataFrame([(1, "of " * 50000), (2, "x" * 100000), (3, "123 !!"), (4, None), (5, "The"), (6, "of the copper " * 300_000)], SCHEMA)
+    got = {r.doc_id: len(r.signatures) for r in spotsigs.signatures(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 2}
     assert spotsigs.signatures(df.where("false")).collect() == []
 
 
