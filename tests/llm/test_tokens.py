@@ -1,5 +1,6 @@
 """Packing, token files and sharding: exact round trips and laws."""
 
+import pathlib
 import random
 import zlib
 from collections import defaultdict
@@ -187,6 +188,40 @@ def test_shards(spark, tmp_path, hot):
         assert got[got.doc_id.between(2000, 4999)].shard.nunique() == 1
 
 
+def test_blocks_move_little_more_than_the_flow():
+    rng = random.Random(3)
+    for old, new in ((32, 40), (40, 32), (8, 8), (5, 17)):
+        blocks = {b: (b % old, int(rng.lognormvariate(12, 0.7))) for b in range(old * 128)}
+        files = {b: (b % old) * 8 + b // old % 8 for b in blocks}
+        chosen = reshard.assign(blocks, [1] * new, files)
+        total = sum(x for _, x in blocks.values())
+        supply = [sum(x for o, x in blocks.values() if o == i) for i in range(old)]
+        least = sum(x for (i, j), x in reshard.min_cost_flow(supply, [-(-total // new)] * new).items() if i != j)
+        moved = sum(x for b, (o, x) in blocks.items() if chosen[b] != o)
+        load = [sum(x for b, (_, x) in blocks.items() if chosen[b] == j) for j in range(new)]
+        assert least <= moved + new and moved <= 1.01 * least + 0.001 * total, (old, new, moved, least)
+        assert max(load) < 1.01 * total / new and min(load) > 0.99 * total / new
+        if new >= old > 5:
+            assert len({files[b] for b, j in chosen.items() if j != b % old}) <= 3 * old
+
+
+def test_only_files_that_lose_blocks_are_rewritten(spark):
+    rows = [(i, f"{i} " * (i % 300)) for i in range(3000)]
+    old = reshard.write_shards(spark.createDataFrame(rows, SCHEMA), shared_dir(spark, "old-test"), 8, goal=10)
+    before = {f: pathlib.Path(f.removeprefix("file:")).stat().st_mtime_ns for f in spark.read.parquet(old.folder).inputFiles()}
+    new = shared_dir(spark, "new-test")
+    out = reshard.reshard(spark, old, new, [1] * 10)
+    got = {r.doc_id: r for r in out.collect()}
+    assert len(got) == 3000 and all(got[i].text == t for i, t in rows)
+    assert all(r.moved == (r.shard != r.old_shard) for r in got.values())
+    for j in range(10):
+        assert sorted(r.slot for r in got.values() if r.shard == j) == list(range(sum(r.shard == j for r in got.values())))
+    used = set(out.inputFiles())
+    kept = {f for f in used if f in before}
+    assert 0.5 * len(before) < len(kept) < len(before)
+    assert all(pathlib.Path(f.removeprefix("file:")).stat().st_mtime_ns == before[f] for f in before)
+
+
 def test_empty_table_has_no_shards(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert reshard.op3_reshard(spark, str(tmp_path)).collect() == []
