@@ -28,9 +28,13 @@ def small_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under spark.checkpoint.dir, which all executors share; it goes with the session.
 
-    Only where the session has no such setting (tests, one machine) is one made.
+    Only a local session without such a setting (tests, one machine) gets one; a cluster must name it.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/tesserae"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file:///tmp/checkpoints/tesserae"
     path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)

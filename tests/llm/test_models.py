@@ -93,10 +93,44 @@ def test_pairs_matter():
         noise = rng.integers(1000, 1200, 6).tolist()
         rows.append(np.array(sorted({*noise, *([1] if a else []), *([2] if b else [])})))
         y.append(int(a and b))
-    m = toxicity.Machine(Rows(rows, np.array(y)), rounds=40, l1=2.0)
+    m = toxicity.Machine(Rows(rows, np.array(y)))
     out = []
     for r in rows:
         r = r[m.w[r] != 0]
         s = m.v[r].sum(axis=0)
         out.append(m.bias + m.w[r].sum() + 0.5 * ((s**2).sum() - m.square[r].sum()) > 0)
     assert np.mean(np.array(out) == np.array(y)) > 0.97
+
+
+def slow_terms(text):
+    import re
+
+    words = re.findall(rb"[A-Za-z\x80-\xff]+", (text or "").lower().encode())
+    return {w for w in words} | {(n, w[:n]) for w in words for n in toxicity.STEMS if len(w) > n}
+
+
+def test_toxicity_against_a_slow_scorer(spark, tables):
+    """Scores of the query equal the sum over terms and pairs of terms, one by one."""
+    folder, docs, _ = tables
+    d, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    m = toxicity.fit(d, labels, ~toxicity.held_out("doc_id", 3, 1))
+    got = {r.doc_id: r.score for r in toxicity.op9_toxicity(spark, folder).collect()}
+    for i in [0, 4, 5, 8, 31, 1000, 1001, 1002]:
+        low = (docs[i][1] or "").lower().encode()
+        data = np.frombuffer(low, np.uint8)
+        _, terms = toxicity.terms(data, np.array([0, data.size]))
+        assert len(terms) == len(slow_terms(docs[i][1]))
+        total = m.bias + sum(float(m.w[t]) for t in terms)
+        total += sum(float(np.dot(m.v[a], m.v[b])) for k, a in enumerate(terms) for b in terms[:k])
+        assert abs(got[i] - 1 / (1 + np.exp(-total))) < 1e-4
+
+
+def test_very_long_texts(spark):
+    """Texts of some megabytes are scored and predicted like any other."""
+    docs = spark.createDataFrame([(1, "the house and river " * 150_000, "en"), (2, "der fluss und haus " * 9, "de"), (3, "a" * 3_000_000, None)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    from pyspark.sql import functions as F
+
+    for fit in (quality.fit, toxicity.fit):
+        assert all(0 <= r.score <= 1 for r in toxicity.score(docs, fit(docs, labels, F.lit(True))).collect())
+    assert {r.doc_id for r in language.predict(docs, language.fit(docs, F.lit(True))).collect()} == {1, 2, 3}
