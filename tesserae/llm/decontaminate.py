@@ -1,7 +1,7 @@
 """Test items inside documents, by size-partitioned MinHash containment search.
 
 Items are partitioned by size (number of distinct five-word shingles, by powers of
-two). An item of n shingles is sketched by its n - ceil(t n) + 1 least hashes: a
+two), and a document meets only partitions whose items it is long enough to hold. An item of n shingles is sketched by its n - ceil(t n) + 1 least hashes: a
 document that holds a share t or more of them must hold one of these, so the search
 misses nothing whatever the document's length, and the sketch of a short item stays
 short. Documents whose shingles meet a sketch are compared exactly: first by all
@@ -11,7 +11,8 @@ Words are maximal runs of ASCII letters, digits and non-ASCII characters of the
 lower-cased text. An item of fewer than five words is one shingle of all its words.
 
 Items are a stated query set: they are taken in blocks of a bounded number of hashes,
-each block against all documents in one scan, so no text is shuffled or collected.
+each block against all documents in one scan, so no text is shuffled or collected. Equal
+items are searched once, under the digest of their text.
 
 Edge cases: null or empty texts and items hold no words and give no rows; repeated
 documents, and items of repeated ids, give a row each; an empty table gives none; other
@@ -98,13 +99,14 @@ class Items:
             part[0].append(least)
             part[1].append(np.full(least.size, k))
         #: by words in a shingle: the partitions' sorted (hashes, items), and a filter of 20 bits for all
-        self.parts: dict[int, tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]] = {}
+        self.parts: dict[int, tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]] = {}
         for n, sizes in sketch.items():
             quick, parts = np.zeros(1 << 20, bool), []
-            for hs, ks in sizes.values():
+            for bits, (hs, ks) in sizes.items():
                 h, k = np.concatenate(hs), np.concatenate(ks)
                 order = np.argsort(h, kind="stable")
-                parts.append((h[order], k[order]))
+                # shingles that a document needs to hold the share of the partition's smallest items
+                parts.append((math.ceil(round(share * (1 << bits - 1), 9)), h[order], k[order]))
                 quick[(h >> np.uint64(44)).astype(np.int64)] = True
             self.parts[n] = (quick, parts)
 
@@ -118,12 +120,14 @@ class Items:
             if not at.size:
                 continue
             found = []
-            for hs, ks in parts:
-                x, y = np.searchsorted(hs, rolled[at], "left"), np.searchsorted(hs, rolled[at], "right")
+            room = np.bincount(doc, minlength=offs.size)[doc[at]] - n + 1
+            for need, hs, ks in parts:
+                own = at[room >= need]
+                x, y = np.searchsorted(hs, rolled[own], "left"), np.searchsorted(hs, rolled[own], "right")
                 hit = y > x
                 times = (y - x)[hit]
                 where = np.repeat(x[hit], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-                found.append(np.repeat(doc[at[hit]], times) * len(self.names) + ks[where])
+                found.append(np.repeat(doc[own[hit]], times) * len(self.names) + ks[where])
             begin = np.searchsorted(doc, np.arange(offs.size))
             last, own = -1, np.zeros(0, np.uint64)
             for pair in np.unique(np.concatenate(found)).tolist():
@@ -139,11 +143,15 @@ class Items:
                     yield d, k, shared
 
 
-def item_blocks(items: DataFrame, share: float, item_col: str, text_col: str, block: int) -> Iterator[Broadcast]:
-    """The items in blocks of a bounded size, each as a broadcast `Items`."""
+def _lowered(items: DataFrame, text_col: str) -> F.Column:
+    return F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def item_blocks(items: DataFrame, share: float, text_col: str, block: int) -> Iterator[Broadcast]:
+    """The distinct items in blocks of a bounded size, each as a broadcast `Items`, named by digest."""
     spark = items.sparkSession
     small_batches(spark)
-    asked, _ = settle(items.select(F.col(item_col).alias("item"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text")), "items")
+    asked, _ = settle(items.select(_lowered(items, text_col).alias("text")).distinct().select(F.md5("text").alias("item"), "text"), "items")
     total = asked.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     blocks = max(1, math.ceil(total / (block * 4)))
     for k in range(blocks):
@@ -154,33 +162,34 @@ def item_blocks(items: DataFrame, share: float, item_col: str, text_col: str, bl
 
 def contained(docs: DataFrame, items: DataFrame, share: float = SHARE, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(doc_col, item_col, n_shared, n_item, containment) where containment >= share."""
-    item_type, doc_type = (f.schema[c].dataType.simpleString() for f, c in ((items, item_col), (docs, doc_col)))
+    doc_type = docs.schema[doc_col].dataType.simpleString()
+    named = items.select(F.md5(_lowered(items, text_col)).alias("digest"), F.col(item_col).alias("item"))
     texts = docs.select(F.col(doc_col).alias("doc"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
     out = None
-    for held in item_blocks(items, share, item_col, text_col, block):
+    for held in item_blocks(items, share, text_col, block):
 
         def scan(batches: Iterator[pa.RecordBatch], held: Broadcast = held) -> Iterator[pa.RecordBatch]:
             known = held.value
-            names = pa.array(known.names) if known.names else None
+            names = pa.array(known.names, pa.string())
             for batch in batches:
                 rows = []
                 for a, _, data, offs in text_chunks(batch, "text"):
                     rows += [(a + d, k, s, known.sets[k].size) for d, k, s in known.search(data, offs)]
                 if rows:
                     d, i, s, n = (pa.array(c) for c in zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(d), names.take(i), s.cast(pa.int64()), n.cast(pa.int64())], ["doc", "item", "n_shared", "n_item"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(d), names.take(i), s.cast(pa.int64()), n.cast(pa.int64())], ["doc", "digest", "n_shared", "n_item"])
 
-        found = texts.mapInArrow(scan, f"doc {doc_type}, item {item_type}, n_shared bigint, n_item bigint")
+        found = texts.mapInArrow(scan, f"doc {doc_type}, digest string, n_shared bigint, n_item bigint")
         out = found if out is None else out.union(found)
     share_of = (F.col("n_shared") / F.col("n_item")).alias("containment")
-    return out.select(F.col("doc").alias(doc_col), F.col("item").alias(item_col), "n_shared", "n_item", share_of)
+    return out.join(named, "digest").select(F.col("doc").alias(doc_col), F.col("item").alias(item_col), "n_shared", "n_item", share_of)
 
 
-def without_items(docs: DataFrame, items: DataFrame, share: float = SHARE, item_col: str = "item_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def without_items(docs: DataFrame, items: DataFrame, share: float = SHARE, text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """docs without those that hold the share of any item; judged in the scan, without a join."""
     out = docs.withColumn("__low", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
-    for held in item_blocks(items, share, item_col, text_col, block):
+    for held in item_blocks(items, share, text_col, block):
 
         def scan(batches: Iterator[pa.RecordBatch], held: Broadcast = held) -> Iterator[pa.RecordBatch]:
             known = held.value
