@@ -6,12 +6,14 @@ sets of sizes n and m meet at places i and j of their orders, they share min(n -
 members at most, and need t (n + m) / (1 + t): most chance meetings end there.
 
 Links are wanted only as far as they connect. Each of ROUNDS rounds names a pivot for every
-prefix member, and each set is compared with the one pivot that it meets most often outside
-its own group: as many pairs as sets. Then all pairs that still lie in different groups and
-share a prefix member are compared, so that no link between groups is missed. A group of
-copies has become one by then and has no such pair left. Rows of a frequent member are dealt
-into pieces, each pair of which is a key of its own, so no task holds a whole one.
-
+prefix member, the same for all members of a group of copies, and each set is compared with
+the pivot of another group that it meets most often, where that is about as often as similar
+sets must meet. Then all pairs that still lie in different groups and meet early enough are
+compared, so that no link between groups is missed; a group of copies has become one by then
+and has no such pair left. Rows of a frequent member are dealt into pieces, each pair of which
+is a key of its own, so no task holds a whole one.
+
+Tables of sets are joined by sorted merges whatever their size, so plans are alike at all sizes.
 A round's links and groups are written to the shared folder, so a lost executor costs little.
 """
 
@@ -41,45 +43,50 @@ def _can(i: Column, n: Column, j: Column, m: Column, similarity: float) -> Colum
     return F.least(n - i, m - j) >= need
 
 
-def like_sets(entries: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, label: str, rounds: int = ROUNDS, piece: int = PIECE) -> DataFrame:
+def shared_entries(entries: DataFrame, label: str) -> DataFrame:
+    """The rows of entries, a settled table, whose member (h) is in another row too."""
+    twice = entries.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    return settle(entries.join(twice.hint("merge"), "h"), f"{label}-prefixes")[0]
+
+
+def like_sets(live: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, label: str, rounds: int = ROUNDS, piece: int = PIECE) -> DataFrame:
     """(node, root) of every set with a like one; root is the smallest node reached over links.
 
-    entries: (h long, pos int, n int, node long), the prefix members of each set, with place and
-    set size. sets_of(table of node): (node, s), the whole sets of the nodes asked for.
+    live: (h long, pos int, n int, node long), the prefix members of each set, with place and
+    set size; see shared_entries. sets_of(table of node): (node, s), the whole sets of the nodes asked for.
     """
-    stat = entries.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    live, _ = settle(entries.join(stat, "h").select("h", "pos", "n", "node"), f"{label}-prefixes")
 
     def verified(asked: DataFrame) -> DataFrame:
         nodes = asked.select(F.col("a").alias("node")).union(asked.select("b")).distinct()
         sets, _ = settle(sets_of(nodes), f"{label}-sets")
-        both = asked.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+        both = asked.join(sets.toDF("a", "sa").hint("merge"), "a").join(sets.toDF("b", "sb").hint("merge"), "b")
         shared = F.size(F.array_intersect("sa", "sb"))
         like = shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared) - 1e-9
         return settle(both.where(like).select("a", "b"), f"{label}-links")[0]
 
-    spark = entries.sparkSession
+    spark = live.sparkSession
     links, groups = None, spark.createDataFrame([], "node bigint, root bigint")
     for k in range(rounds + 1):
         held = live.withColumn("comp", F.col("node")) if links is None else live.join(groups, "node", "left").select("h", "pos", "n", "node", F.coalesce("root", "node").alias("comp"))
-        row = F.struct(F.xxhash64("h", "node", F.lit(k)).alias("order"), "node", "comp", "pos", "n")
+        row = F.struct(F.xxhash64("node", F.lit(k)).alias("order"), "node", "comp", "pos", "n")
         pivots = held.groupBy("h").agg(F.min(row).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo < hi")
         if k < rounds:
-            met = held.join(pivots.select("h", "p"), "h").where("comp <> p.comp").where(_can(F.col("pos"), F.col("n"), F.col("p.pos"), F.col("p.n"), similarity))
-            often = met.groupBy("node", F.col("p.node").alias("pivot")).agg(F.count("*").alias("times"))
-            best = often.groupBy("node").agg(F.max(F.struct("times", "pivot")).alias("best"))
+            met = held.join(pivots.select("h", "p").hint("merge"), "h").where("comp <> p.comp").where(F.least("n", "p.n") >= F.lit(similarity) * F.greatest("n", "p.n") - 1e-9)
+            often = met.groupBy("node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("m")).agg(F.count("*").alias("times"))
+            # prefixes of like sets share as many members, whatever their order
+            need = F.ceil(F.round(F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("m")), 6))
+            least = F.least(*(prefix_size(F.col(x), similarity) - F.col(x) + need for x in ("n", "m")))
+            best = often.where(2 * F.col("times") >= least).groupBy("node").agg(F.max(F.struct("times", "pivot")).alias("best"))
             pairs = best.select(F.least("node", "best.pivot").alias("a"), F.greatest("node", "best.pivot").alias("b")).distinct()
         else:
-            parts = held.join(pivots.select("h", F.ceil(F.col("c") / piece).cast("int").alias("parts")), "h").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+            parts = held.join(pivots.select("h", F.ceil(F.col("c") / piece).cast("int").alias("parts")).hint("merge"), "h").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
             every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
             left = parts.select("h", F.col("own").alias("x"), every.alias("y"), F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("pos").alias("i"), F.col("n").alias("na"))
             right = parts.select("h", every.alias("x"), F.col("own").alias("y"), F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("pos").alias("j"), F.col("n").alias("nb"))
-            met = left.join(right, ["h", "x", "y"]).where("a < b and ca <> cb").where(_can(F.col("i"), F.col("na"), F.col("j"), F.col("nb"), similarity))
+            met = left.join(right.hint("merge"), ["h", "x", "y"]).where("a < b and ca <> cb").where(_can(F.col("i"), F.col("na"), F.col("j"), F.col("nb"), similarity))
             pairs = met.select("a", "b").distinct()
         asked, _ = settle(pairs, f"{label}-pairs")
         if asked.isEmpty():
-            if k == 0:  # no two sets can be alike
-                return groups
             continue
         found = verified(asked)
         links = found if links is None else links.union(found)

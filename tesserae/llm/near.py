@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._blocks import ROW_BITS, Blocks
-from ._setjoin import like_sets, prefix_bound
+from ._setjoin import like_sets, prefix_bound, shared_entries
 from ._text import LOWER, SPACE, mix, prefix_sums, range_hash, runs, text_chunks
 from .simhash import first_places
 
@@ -124,7 +124,7 @@ def like_places(store: Blocks, text_at: str, rows: DataFrame, similarity: float
     def sets_of(nodes: DataFrame) -> DataFrame:
         return store.over(store.told(nodes, "node"), [text_at], sets, "node bigint, s array<bigint>")
 
-    return like_sets(prefixes(rows, similarity, shingle), sets_of, similarity, "near")
+    return like_sets(shared_entries(prefixes(rows, similarity, shingle), "near"), sets_of, similarity, "near")
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, radius: int | None = None) -> DataFrame:
