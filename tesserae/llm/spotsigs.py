@@ -1,10 +1,9 @@
 """SpotSigs fingerprints from built-in functions only.
 
 A spot signature is a common-word anchor with the two content words that follow it.
-Words are runs of letters of the lower-cased text. Words are told apart as common or content
-one by one; the text is then cut after each content word, so that a part is one content word
-with the common words before it, and zipping the parts with themselves shifted by one gives
-every anchor its chain, in linear time and without a regular expression that repeats. A
+Words are runs of letters of the lower-cased text. They are told apart as common or content
+one by one; zipping the places of the content words with themselves, shifted by one and two,
+gives every anchor its chain, in linear time and without a regular expression that repeats. A
 document's fingerprint is the set of its signatures' hashes (32 bits), in order. There is one
 kind of signature for all texts; only one without any spot is represented by its own hash.
 
@@ -25,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._setjoin import like_sets, prefix_size
+from ._setjoin import like_sets, prefix_size, shared_entries
 from ._tables import read, settle
 
 #: Anchors: the commonest function words of English, Spanish, French, German.
@@ -38,7 +37,6 @@ SIMILARITY = 0.8
 OFTEN = 1000
 #: Bytes of text of a range of ids, about, and the most ranges (three rows of each reach the driver).
 RANGE_BYTES, RANGES = 32 << 20, 1 << 17
-_MARK = "\x01"
 
 
 def with_signatures(df: DataFrame, text_col: str, name: str, anchors: list[str] = ANCHORS) -> DataFrame:
@@ -48,14 +46,19 @@ def with_signatures(df: DataFrame, text_col: str, name: str, anchors: list[str]
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.split(F.trim(F.regexp_replace(F.lower(text), "[^\\p{L}]+", " ")), " ")
-    common = sorted(set(anchors))
-    marked = F.array_join(F.transform(words, lambda w: F.concat(w, F.when(w.isin(common), F.lit(_MARK)).otherwise(F.lit(" ")))), "")
-    df = df.withColumn(f"__{name}", F.split(marked, " "))
-    parts = F.col(f"__{name}")
-    zipped = F.zip_with(parts, F.slice(parts, 2, 1 << 30), lambda x, y: F.struct(F.split(x, _MARK).alias("x"), F.substring_index(y, _MARK, -1).alias("y")))
-    chained = F.filter(zipped, lambda z: (z["y"] != "") & (F.size(z["x"]) > 1))
-    spots = F.flatten(F.transform(chained, lambda z: F.transform(F.slice(z["x"], 1, F.size(z["x"]) - 1), lambda a: F.hash(a, F.element_at(z["x"], -1), z["y"]))))
-    df = df.withColumn(f"__{name}", F.array_sort(F.array_distinct(spots)))
+    common = ["", *sorted(set(anchors))]
+    df = df.withColumn(f"__{name}", words)
+    w = F.col(f"__{name}")
+    # places of content words, after a place 0 before the text
+    places = F.concat(F.array(F.lit(0)), F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: ~F.get(w, i - 1).isin(common)))
+    df = df.withColumn(f"__{name}_at", places)
+    at = F.col(f"__{name}_at")
+    steps = F.zip_with(at, F.slice(at, 2, 1 << 30), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    steps = F.zip_with(steps, F.slice(at, 3, 1 << 30), lambda s, z: F.struct(s["x"].alias("x"), s["y"].alias("y"), z.alias("z")))
+    # a content word y that has common words before it (after x) and a content word z behind it
+    chained = F.filter(steps, lambda s: s["z"].isNotNull() & (s["y"] - s["x"] > 1))
+    spots = F.flatten(F.transform(chained, lambda s: F.transform(F.slice(w, s["x"] + 1, s["y"] - s["x"] - 1), lambda a: F.hash(a, F.get(w, s["y"] - 1), F.get(w, s["z"] - 1)))))
+    df = df.withColumn(f"__{name}", F.array_sort(F.array_distinct(spots))).drop(f"__{name}_at")
     found = F.col(f"__{name}")
     return df.withColumn(name, F.when(F.size(found) > 0, found).otherwise(F.array(F.hash(text)))).drop(f"__{name}")
 
@@ -93,8 +96,8 @@ def near_groups(sets: DataFrame, similarity: float = SIMILARITY, id_col: str = "
     # a set of n members lies in length partition floor(log n / -log t); it meets its own and the next
     part = F.floor(F.log("n") / F.lit(-_log(similarity))).cast("long")
     entries = own.select("node", "n", part.alias("part"), F.posexplode(F.slice("o", F.lit(1), prefix_size(F.col("n"), similarity))).alias("pos", "x"))
-    entries = entries.select(F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"), "x", "pos", "n", "node")
-    entries = entries.select(F.xxhash64("x", "part").alias("h"), "pos", "n", "node")
+    entries = shared_entries(entries.select(F.col("x").cast("long").alias("h"), "pos", "n", "node", "part"), "spots")
+    entries = entries.withColumn("part", F.explode(F.array(F.col("part"), F.col("part") + 1))).select(F.xxhash64("h", "part").alias("h"), "pos", "n", "node")
     roots = like_sets(entries, lambda nodes: sets.select(F.col(node_col).alias("node"), s.alias("s")).join(nodes, "node", "left_semi"), similarity, "spots")
     named = reps.join(roots.toDF("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = named.groupBy("root").agg(F.min("id").alias("near_group"), F.sum("c").alias("size")).where("size > 1")
@@ -109,13 +112,14 @@ def _log(x: float) -> float:
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """(id_col, text, next): each row with its next in descending order of id, the last with the first.
+    """(id_col, text, signatures, next, next_signatures): each row with its next in descending order of id, the last with the first.
 
     Texts are dealt once into ranges of ids. Bounds are quantiles of the ids, so their spread
     does not matter; an id that is a bound has a range to itself, and so has the missing one, and a
     range of more rows than its share is split by digest. Each range also gets a copy of the first
     row of the range after it, named by id and digest, so no window spans the table. Per range,
     three rows reach the driver.
+    Signatures are computed behind that, before the window, so texts alone are shuffled.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -147,19 +151,19 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     first = F.col("id").eqNullSafe(F.col("head")) & (F.md5("text") == F.col("digest"))
     own = F.struct("band", "piece", F.lit(0).alias("copy"))
     places = F.when(first, F.array(own, F.struct(F.col("before").alias("band"), F.col("before_piece").alias("piece"), F.lit(1).alias("copy")))).otherwise(F.array(own))
-    both = dealt.select("id", "text", F.explode(places).alias("p")).select("id", "text", "p.*")
+    both = dealt.select("id", "text", F.explode(places).alias("p")).select("id", "text", "p.*").repartition("band", "piece")
+    both = with_signatures(both, "text", "signatures")
     order = Window.partitionBy("band", "piece").orderBy("copy", F.col("id").desc_nulls_last(), F.md5("text"))
-    both = both.select("id", "copy", "text", F.lead("text").over(order).alias("next"))
-    return both.where("copy = 0").select(F.col("id").alias(id_col), "text", "next")
+    both = both.select("id", "copy", "text", "signatures", F.lead("text").over(order).alias("next"), F.lead("signatures").over(order).alias("next_signatures"))
+    return both.where("copy = 0").select(F.col("id").alias(id_col), "text", "signatures", "next", "next_signatures")
 
 
 def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = with_next(read(spark, sf_dir, "documents"))
     third = F.floor(F.length("text") / 3).cast("int")
     rows = pairs.withColumn("edited", F.concat(F.left("text", F.length("text") - third), F.left("next", third)))
-    for text in ("text", "edited", "next"):
-        rows = with_signatures(rows, text, f"{text}_set")
-    own, changed, following = (F.col(f"{c}_set") for c in ("text", "edited", "next"))
+    rows = with_signatures(rows, "edited", "edited_signatures")
+    own, changed, following = (F.col(c) for c in ("signatures", "edited_signatures", "next_signatures"))
     rows = rows.select(F.monotonically_increasing_id().alias("node"), "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), own.alias("own"), changed.alias("changed"), likeness(own, changed).alias("near_edited"), likeness(own, following).alias("near_next"))
     rows, _ = settle(rows, "spots")
     groups, _ = settle(near_groups(rows, set_col="own"), "spots-groups")

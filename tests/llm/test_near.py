@@ -232,7 +232,7 @@ def test_pieces_of_frequent_members_meet(spark, monkeypatch):
         if len({*sets[a]} & {*sets[b]}) >= 0.5 * len({*sets[a], *sets[b]}):
             root[max(find(a), find(b))] = min(find(a), find(b))
     for rounds, piece in ((0, 3), (2, 5), (1, 4096)):
-        got = {r.node: r.root for r in _setjoin.like_sets(entries, lambda nodes: df.join(nodes, "node"), 0.5, "test", rounds, piece).collect()}
+        got = {r.node: r.root for r in _setjoin.like_sets(_setjoin.shared_entries(entries, "test"), lambda nodes: df.join(nodes, "node"), 0.5, "test", rounds, piece).collect()}
         assert {i: got.get(i, i) for i in sets} == {i: find(i) for i in sets}
 
 
