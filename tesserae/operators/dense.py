@@ -52,7 +52,24 @@ def _arrays(batch: pa.RecordBatch, with_values: bool) -> Iterator[tuple[int, np.
         yield ids[i], labels[i].values.to_numpy().reshape(shape), v, halos[i].as_py()
 
 
-def _contacts(arr: np.ndarray, halo: list[int], ignore: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, tuple, tuple]]:
+def _ranked(arr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A block's labels in order, and their ranks in place of them: a pair of ranks fits one number, whatever the labels."""
+    low, span = int(arr.min()), int(arr.max()) - int(arr.min()) + 1
+    if span <= 4 * arr.size:  # a table of labels instead of a sort
+        seen = np.zeros(span, bool)
+        seen[(arr - low).ravel()] = True
+        return np.flatnonzero(seen) + low, (np.cumsum(seen) - 1)[arr - low]
+    names, ranks = np.unique(arr, return_inverse=True)
+    return names, ranks.reshape(arr.shape)
+
+
+def _zero(names: np.ndarray, ignore: bool) -> int | None:
+    """The rank of label 0, if that is to be ignored and there."""
+    at = int(np.searchsorted(names, 0))
+    return at if ignore and at < names.size and names[at] == 0 else None
+
+
+def _contacts(arr: np.ndarray, halo: list[int], ignore: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, tuple, tuple]]:
     """For each axis: where labels differ, the lower and the upper label, and the slices of both sides."""
     inner = tuple(slice(h, None) for h in halo)
     for k in range(arr.ndim):
@@ -60,8 +77,8 @@ def _contacts(arr: np.ndarray, halo: list[int], ignore: bool) -> Iterator[tuple[
         up = tuple(slice(1, None) if j == k else inner[j] for j in range(arr.ndim))
         a, b = arr[low], arr[up]
         differ = a != b
-        if ignore:
-            differ &= (a != 0) & (b != 0)
+        if ignore is not None:
+            differ &= (a != ignore) & (b != ignore)
         yield differ, a[differ], b[differ], low, up
 
 
@@ -71,10 +88,10 @@ def region_graph(blocks: DataFrame, ignore_label: bool = False) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, arr, _, halo in _arrays(batch, False):
-                top = max(int(arr.max()) + 1, 1)
-                keys = [np.unique(np.minimum(a, b) * top + np.maximum(a, b)) for _, a, b, _, _ in _contacts(arr, halo, ignore_label)]
+                names, ranks = _ranked(arr)
+                keys = [np.unique(np.minimum(a, b) * names.size + np.maximum(a, b)) for _, a, b, _, _ in _contacts(ranks, halo, _zero(names, ignore_label))]
                 key = np.unique(np.concatenate(keys))
-                yield pa.RecordBatch.from_arrays([pa.array(key // top), pa.array(key % top)], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[key // names.size]), pa.array(names[key % names.size])], ["u", "v"])
 
     return blocks.select("block_id", "shape", "halo", "labels").mapInArrow(scan, "u bigint, v bigint").distinct()
 
@@ -85,10 +102,10 @@ def block_sums(blocks: DataFrame, ignore_label: bool = False) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, arr, val, halo in _arrays(batch, True):
-                top = max(int(arr.max()) + 1, 1)
+                names, ranks = _ranked(arr)
                 keys, x = [], []
-                for differ, a, b, low, up in _contacts(arr, halo, ignore_label):
-                    k = np.minimum(a, b) * top + np.maximum(a, b)
+                for differ, a, b, low, up in _contacts(ranks, halo, _zero(names, ignore_label)):
+                    k = np.minimum(a, b) * names.size + np.maximum(a, b)
                     keys += [k, k]
                     x += [val[low][differ], val[up][differ]]
                 key, back = np.unique(np.concatenate(keys), return_inverse=True)
@@ -96,7 +113,7 @@ def block_sums(blocks: DataFrame, ignore_label: bool = False) -> DataFrame:
                 low_, high = np.full(key.size, np.inf), np.full(key.size, -np.inf)
                 np.minimum.at(low_, back, v)
                 np.maximum.at(high, back, v)
-                cols = [np.full(key.size, block), key // top, key % top, np.bincount(back, minlength=key.size), np.bincount(back, v, key.size), np.bincount(back, v * v, key.size), low_, high]
+                cols = [np.full(key.size, block), names[key // names.size], names[key % names.size], np.bincount(back, minlength=key.size), np.bincount(back, v, key.size), np.bincount(back, v * v, key.size), low_, high]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["block_id", "u", "v", "n", "s1", "s2", "min", "max"])
 
     return blocks.mapInArrow(scan, "block_id bigint, u bigint, v bigint, n bigint, s1 double, s2 double, min double, max double")

@@ -131,7 +131,7 @@ add("one_axis_edges", lambda s, d: rag.one_axis_edges(views.seg2(s, d)), "SELECT
 add("block_boundary_edges", lambda s, d: rag.block_boundary_edges(views.seg(s, d), SEG_BLOCKS), "SELECT DISTINCT u, v FROM seg_e WHERE (axis = 'y' AND (y + 1) % 25 = 0) OR (axis = 'x' AND (x + 1) % 20 = 0)")
 add("z_extended", lambda s, d: rag.z_extended(views.vol_all(s, d)), "SELECT label AS node FROM vol_all GROUP BY label HAVING count(DISTINCT z) > 1")
 add("skip_edges", lambda s, d: rag.skip_edges(views.vol(s, d), [1]), "SELECT least(a.label, b.label) AS u, greatest(a.label, b.label) AS v, a.z, b.z - a.z AS dz, count(*) AS length FROM vol a JOIN vol b ON a.y = b.y AND a.x = b.x AND a.z = 0 AND b.z = 2 WHERE a.label <> b.label GROUP BY 1, 2, 3, 4")
-add("nodes_to_blocks", lambda s, d: rag.nodes_to_blocks(views.seg(s, d).where("y < 100"), grid.Blocking([0, 0], [100, 64], [25, 20]), (2, 3)), "SELECT DISTINCT p * 4 + q AS block_id, label FROM seg JOIN (SELECT unnest(range(0, 4)) AS p) ON y >= p * 25 - 2 AND y < p * 25 + 27 JOIN (SELECT unnest(range(0, 4)) AS q) ON x >= q * 20 - 3 AND x < q * 20 + 23 WHERE y < 100")
+add("nodes_to_blocks", lambda s, d: rag.nodes_to_blocks(views.seg(s, d), SEG_BLOCKS, (2, 3)), "SELECT DISTINCT p * 4 + q AS block_id, label FROM seg JOIN (SELECT unnest(range(0, (SELECT (max(y) + 2) // 25 + 1 FROM img))) AS p) ON y >= p * 25 - 2 AND y < p * 25 + 27 JOIN (SELECT unnest(range(0, 4)) AS q) ON x >= q * 20 - 3 AND x < q * 20 + 23")
 add("block_mapping", lambda s, d: rag.block_mapping(views.seg2(s, d), grid.Blocking([0, 0], [1 << 20, 64], [10, 4])), "SELECT label, p * 10 AS begin0, p * 10 + 10 AS end0, min(q) * 4 AS begin1, max(q) * 4 + 4 AS end1 FROM (SELECT label, p, q, q - row_number() OVER (PARTITION BY label, p ORDER BY q) AS g FROM (SELECT DISTINCT label, y // 10 AS p, x // 4 AS q FROM seg2)) GROUP BY label, p, g")
 
 # features
@@ -154,7 +154,7 @@ add("geometric_nodes", lambda s, d: fe.geometric_nodes(views.vol(s, d)), "SELECT
 add("principal_axes", lambda s, d: fe.principal_axes(views.seg(s, d)))
 D2 = "sqrt(({0}y - {1}y) * ({0}y - {1}y) + ({0}x - {1}x) * ({0}x - {1}x))"
 add("geometric_edges", lambda s, d: fe.geometric_edges(views.seg(s, d)), f"SELECT e.u, e.v, size, abs(a.n - b.n) AS diff, a.n + b.n AS sum, a.n * b.n AS product, least(a.n, b.n) AS min, greatest(a.n, b.n) AS max, round(least(a.n, b.n) / greatest(a.n, b.n), 6) AS ratio, round(size / least(a.n, b.n), 6) AS ratio_min, round(size / greatest(a.n, b.n), 6) AS ratio_max, round({D2.format('a.', 'b.')}, 6) AS d_uv, round({D2.format('a.', 'e.')}, 6) AS d_ue, round({D2.format('b.', 'e.')}, 6) AS d_ve, round(((a.y - e.y) * (b.y - e.y) + (a.x - e.x) * (b.x - e.x)) / ({D2.format('a.', 'e.')} * {D2.format('b.', 'e.')}), 6) AS cosine FROM (SELECT u, v, count(*) AS size, avg(y) AS y, avg(x) AS x FROM seg_e GROUP BY u, v) e JOIN geo a ON a.label = e.u JOIN geo b ON b.label = e.v", geo="SELECT label, count(*) AS n, avg(y) AS y, avg(x) AS x FROM seg GROUP BY label")
-add("affinity_means", lambda s, d: fe.affinity_means(fe.affinity_samples(views.seg(s, d), _affinities(s, d), OFFSETS).where("channel = 0"), rag.region_graph(views.seg(s, d))), "SELECT r.u, r.v, round(coalesce(m.mean, 0), 6) AS mean FROM (SELECT DISTINCT u, v FROM seg_e) r LEFT JOIN (SELECT least(la, lb) AS u, greatest(la, lb) AS v, avg(value) AS mean FROM aff WHERE la <> lb AND channel = 0 GROUP BY 1, 2) m ON m.u = r.u AND m.v = r.v", aff=AFF)
+add("affinity_means", lambda s, d: fe.affinity_means(fe.affinity_samples(views.seg(s, d), _affinities(s, d), OFFSETS), rag.region_graph(views.seg(s, d))), "SELECT r.u, r.v, round(coalesce(m.mean, 0), 6) AS mean FROM (SELECT DISTINCT u, v FROM seg_e) r LEFT JOIN (SELECT least(la, lb) AS u, greatest(la, lb) AS v, avg(value) AS mean FROM aff WHERE la <> lb GROUP BY 1, 2) m ON m.u = r.u AND m.v = r.v", aff=AFF)
 WEIGHTED = "round(sum(w * value) / sum(w), 6) AS mean, round(sum(w), 6) AS length, round(max(value), 6) AS max FROM (SELECT *, [2.0, 4.0, 0.5][channel + 1] AS w FROM aff)"
 add("weighted_affinities", lambda s, d: fe.weighted_affinities(fe.affinity_samples(views.seg(s, d), _affinities(s, d), OFFSETS), [2, 4, 0.5]), f"SELECT least(la, lb) AS u, greatest(la, lb) AS v, {WEIGHTED} WHERE la <> lb GROUP BY 1, 2", aff=AFF)
 add("weighted_affinities_inside", lambda s, d: fe.weighted_affinities(fe.affinity_samples(views.seg(s, d), _affinities(s, d), OFFSETS), [2, 4, 0.5], inside=True), f"SELECT la AS node, {WEIGHTED} WHERE la = lb GROUP BY 1", aff=AFF)
@@ -233,17 +233,17 @@ def _positive(s, d):
 
 
 # the graph is a forest at this size, so a walk without return is the only path
-WALK = "SELECT node, node AS target, 0.0::DOUBLE AS dist, CAST(NULL AS BIGINT) AS previous FROM ns WHERE node % 5 = 0 UNION ALL SELECT r.node, s.neighbor, r.dist + abs(s.w), r.target FROM walk r JOIN sym s ON s.node = r.target AND s.neighbor IS DISTINCT FROM r.previous"
-add("shortest_distances", lambda s, d: ga.shortest_distances(_positive(s, d), _nodes(views.g_sparse(s, d)).where("node % 5 = 0")), "SELECT node AS source, target AS node, round(dist, 6) AS dist, previous FROM walk", ns=NODES.format("g_sparse"), sym=SYM.format("g_sparse"), walk=WALK)
+WALK = "SELECT node, node AS target, 0.0::DOUBLE AS dist, CAST(NULL AS BIGINT) AS previous FROM ns UNION ALL SELECT r.node, s.neighbor, r.dist + abs(s.w), r.target FROM walk r JOIN sym s ON s.node = r.target AND s.neighbor IS DISTINCT FROM r.previous"
+add("shortest_distances", lambda s, d: ga.shortest_distances(_positive(s, d), _nodes(views.g_sparse(s, d))), "SELECT node AS source, target AS node, round(dist, 6) AS dist, previous FROM walk", ns=NODES.format("g_sparse"), sym=SYM.format("g_sparse"), walk=WALK)
 
 
 def _path_pairs(s, d):
-    n = _nodes(views.g_sparse(s, d)).where("node % 10 = 0").select(F.col("node").alias("source"))
+    n = _nodes(views.g_sparse(s, d)).select(F.col("node").alias("source"))
     c = ga.connected_components(views.g_sparse(s, d))
     return n.join(c.select(F.col("node").alias("source"), "component"), "source").select("source", F.col("component").alias("target"))
 
 
-add_cc("shortest_paths", lambda s, d: ga.shortest_paths(_positive(s, d), _path_pairs(s, d)).select("source", "target", F.size("path").alias("n"), "dist"), "g_sparse", "SELECT w.node AS source, w.target, w.n, round(w.dist, 6) AS dist FROM walk w JOIN cc ON cc.node = w.node AND cc.component = w.target", sym=SYM.format("g_sparse"), walk="SELECT node, node AS target, 0.0::DOUBLE AS dist, CAST(NULL AS BIGINT) AS previous, 1 AS n FROM cc_nodes WHERE node % 10 = 0 UNION ALL SELECT r.node, s.neighbor, r.dist + abs(s.w), r.target, r.n + 1 FROM walk r JOIN sym s ON s.node = r.target AND s.neighbor IS DISTINCT FROM r.previous")
+add_cc("shortest_paths", lambda s, d: ga.shortest_paths(_positive(s, d), _path_pairs(s, d)).select("source", "target", F.size("path").alias("n"), "dist"), "g_sparse", "SELECT w.node AS source, w.target, w.n, round(w.dist, 6) AS dist FROM walk w JOIN cc ON cc.node = w.node AND cc.component = w.target", sym=SYM.format("g_sparse"), walk="SELECT node, node AS target, 0.0::DOUBLE AS dist, CAST(NULL AS BIGINT) AS previous, 1 AS n FROM cc_nodes UNION ALL SELECT r.node, s.neighbor, r.dist + abs(s.w), r.target, r.n + 1 FROM walk r JOIN sym s ON s.node = r.target AND s.neighbor IS DISTINCT FROM r.previous")
 
 
 def _bellman_ford(s, d):
@@ -287,6 +287,78 @@ add_multicut("multicut_chained", kernels.chained(kernels.greedy_additive, kernel
 for rule in ("mean", "sum", "max", "abs_max"):
     add_multicut(f"gasp_{rule}", lambda e, rule=rule: kernels.gasp(e, rule), False)
 add_multicut("gasp_constrained", lambda e: kernels.gasp(e, "mean", constraints=True), False)
+# rules and energies on a graph with cycles and both signs
+
+RULES = {"sum": "sum(w)", "mean": "avg(w)", "max": "max(w)", "min": "min(w)", "abs_max": "max_by(w, struct(abs(w), w))"}
+
+
+def _between(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edges whose ends lie in different clusters, by pair of clusters (a, b)."""
+    j = lookup.with_node_values(edges, labels.withColumnRenamed("label", "cluster"), "cluster")
+    return j.where("cluster_u <> cluster_v").withColumn("a", F.least("cluster_u", "cluster_v")).withColumn("b", F.greatest("cluster_u", "cluster_v"))
+
+
+def _gasp_rule(rule: str, s, d) -> DataFrame:
+    """A linkage rule at its end: pairs of clusters that the rule itself would still join, and clusters that positive paths do not hold together."""
+    e = views.g_cyc(s, d)
+    labels = solve.per_component(e, lambda x: kernels.gasp(x, rule))
+    left = _between(e, labels).groupBy("a", "b").agg(F.expr(RULES[rule]).alias("x")).where("x > 1e-9").agg(F.count("*").alias("joinable"))
+    held = ga.connected_components(e.where("w > 0").select("u", "v"), _nodes(e))
+    torn = labels.join(held, "node").groupBy("label").agg(F.countDistinct("component").alias("parts")).where("parts > 1").agg(F.count("*").alias("torn"))
+    return left.join(torn).select(F.lit(rule).alias("rule"), "joinable", "torn")
+
+
+for rule in RULES:
+    add(f"gasp_end_{rule}", lambda s, d, rule=rule: _gasp_rule(rule, s, d), f"SELECT '{rule}' AS rule, 0 AS joinable, 0 AS torn")
+
+SOLVERS = {"greedy_additive": kernels.greedy_additive, "greedy_fixation": kernels.greedy_fixation, "kernighan_lin": kernels.kernighan_lin, "fusion_moves": kernels.fusion_moves, "chained": kernels.chained(kernels.greedy_additive, kernels.kernighan_lin)}
+
+
+def _multicut_energies(s, d) -> DataFrame:
+    """Each solver's energy against three easy partitions: all in one, each alone, and components of positive edges."""
+    e = views.g_cyc(s, d)
+
+    def cut(labels: DataFrame) -> float:
+        return partition.multicut_energy(e, labels).first()[0] or 0.0
+
+    positive = ga.connected_components(e.where("w > 0").select("u", "v"), _nodes(e)).withColumnRenamed("component", "label")
+    found = {name: cut(solve.per_component(e, kernel)) for name, kernel in SOLVERS.items()}
+    easy = min(0.0, cut(_nodes(e).withColumn("label", F.col("node"))), cut(positive)) + 1e-6
+    return s.createDataFrame([(name, x <= easy, x <= found["greedy_additive"] + 1e-6) for name, x in found.items() if name != "greedy_fixation"], "solver string, below_easy boolean, below_greedy boolean")
+
+
+add("multicut_energies", _multicut_energies, "SELECT unnest(['greedy_additive', 'kernighan_lin', 'fusion_moves', 'chained']) AS solver, true AS below_easy, true AS below_greedy")
+add("spanning_forest_cyclic", lambda s, d: _forest_facts(s, d))
+
+
+def _forest_facts(s, d) -> DataFrame:
+    """The forest of a graph with cycles: as many edges as nodes less components."""
+    e = views.g_cyc(s, d)
+    f = ga.spanning_forest(e)
+    comps = ga.connected_components(e.select("u", "v")).agg(F.countDistinct("component").alias("c"), F.count("*").alias("n"))
+    own = ga.connected_components(f.select("u", "v")).agg(F.countDistinct("component").alias("fc"))
+    return f.agg(F.count("*").alias("edges")).join(comps).join(own).select((F.col("edges") == F.col("n") - F.col("c")).alias("acyclic"), (F.col("fc") == F.col("c")).alias("spans"))
+
+
+ORACLE_SQL["spanning_forest_cyclic"] = "SELECT true AS acyclic, true AS spans"
+
+
+def _seeded_facts(s, d, kernel) -> DataFrame:
+    """A watershed from several seeds a component: nodes without a label, seeds that lost theirs, and labels that are torn apart."""
+    e = views.g_cyc(s, d).withColumn("w", F.abs("w"))
+    seeds = _nodes(e).where("node % 3 = 0").select("node", (F.col("node") + 1).alias("label"))
+    labels = solve.per_component_seeded(e, seeds, kernel)
+    lost = labels.join(seeds.withColumnRenamed("label", "seed"), "node").where("label <> seed").agg(F.count("*").alias("lost"))
+    j = lookup.with_node_values(e.select("u", "v"), labels.withColumnRenamed("label", "cluster"), "cluster")
+    parts = ga.connected_components(j.where("cluster_u = cluster_v").select("u", "v"), _nodes(e))
+    torn = parts.join(labels.where("label > 0"), "node").groupBy("label").agg(F.countDistinct("component").alias("n")).where("n > 1").agg(F.count("*").alias("torn"))
+    return lost.join(torn)
+
+
+for name, kernel in {"kruskal": kernels.kruskal_watershed, "prim": kernels.prim_watershed}.items():
+    add(f"watershed_{name}_cyclic", lambda s, d, kernel=kernel: _seeded_facts(s, d, kernel), "SELECT 0 AS lost, 0 AS torn")
+
+
 add_cc("multicut_decomposer", lambda s, d: solve.decompose(views.g_sparse(s, d)), "pos", "SELECT node, component AS label FROM cc", NODES.format("g_sparse"), pos=POSITIVE)
 add_cc("block_multicut", lambda s, d: solve.block_multicut(views.g_sparse(s, d), _nodes(views.g_sparse(s, d)).select("node", F.floor(F.col("node") / 500).alias("block"))), "pos", "SELECT node, component AS label FROM cc", NODES.format("g_sparse"), pos=POSITIVE)
 add("perturb_and_map", lambda s, d: solve.perturb_and_map(views.g_sparse(s, d), 8, "normal", 1.0))
@@ -365,21 +437,21 @@ add("disk_median", lambda s, d: images.disk_median(views.img(s, d), 1), "SELECT
 EXT = "SELECT a.y, a.x, round(a.value, 6) AS value FROM img a JOIN (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) o(dy, dx) ON true LEFT JOIN img b ON b.y = a.y + dy AND b.x = a.x + dx GROUP BY a.y, a.x, a.value HAVING a.value {0} {1}(b.value)"
 add("local_minima", lambda s, d: images.extrema(views.img(s, d)), EXT.format("<", "min"))
 add("local_maxima", lambda s, d: images.extrema(views.img(s, d), True), EXT.format(">", "max"))
-add("image_components", lambda s, d: images.image_components(views.seg2(s, d).where("y < 20"), (20, 64), False))
-ORACLE_SQL["image_components"] = cc_sql("same", "SELECT node, component FROM cc", "SELECT y * 64 + x AS node FROM seg2 WHERE y < 20", same="SELECT a.y * 64 + a.x AS u, b.y * 64 + b.x AS v FROM seg2 a JOIN seg2 b ON a.label = b.label AND ((b.y = a.y AND b.x = a.x + 1) OR (b.y = a.y + 1 AND b.x = a.x)) WHERE b.y < 20")
-add("extrema_seeds", lambda s, d: images.extrema_seeds(views.img(s, d).where("y < 30"), (30, 64)), "SELECT y * 64 + x AS node, row_number() OVER (ORDER BY y * 64 + x) AS label FROM ext", sub="SELECT * FROM img WHERE y < 30", ext=EXT.format("<", "min").replace("FROM img", "FROM sub").replace("JOIN img", "JOIN sub"))
+add("image_components", lambda s, d: images.image_components(views.seg2(s, d), (1 << 20, 64), False))
+ORACLE_SQL["image_components"] = cc_sql("same", "SELECT node, component FROM cc", "SELECT y * 64 + x AS node FROM seg2", same="SELECT a.y * 64 + a.x AS u, b.y * 64 + b.x AS v FROM seg2 a JOIN seg2 b ON a.label = b.label AND ((b.y = a.y AND b.x = a.x + 1) OR (b.y = a.y + 1 AND b.x = a.x))")
+add("extrema_seeds", lambda s, d: images.extrema_seeds(views.img(s, d), (1 << 20, 64)), "SELECT y * 64 + x AS node, row_number() OVER (ORDER BY y * 64 + x) AS label FROM ext", ext=EXT.format("<", "min"))
 
 
 def _points(s, d):
-    return views.img(s, d).where("(y * 7 + x * 3) % 11 = 0").select((F.col("y") * 64 + F.col("x")).alias("id"), "y", "x", (F.abs("value") * 20 + 1).alias("dist"))
+    return views.img(s, d).select((F.col("y") * 64 + F.col("x")).alias("id"), "y", "x", (F.abs("value") * 20 + 1).alias("dist"))
 
 
-PTS = "SELECT y * 64 + x AS id, y, x, abs(value) * 20 + 1 AS dist FROM img WHERE (y * 7 + x * 3) % 11 = 0"
+PTS = "SELECT y * 64 + x AS id, y, x, abs(value) * 20 + 1 AS dist FROM img"
 add("non_maximum_suppression", lambda s, d: images.non_maximum_suppression(_points(s, d)), "SELECT DISTINCT qid AS id FROM (SELECT p.id, q.id AS qid FROM pts p JOIN pts q ON q.y BETWEEN p.y - 12 AND p.y + 12 AND (p.y - q.y) * (p.y - q.y) + (p.x - q.x) * (p.x - q.x) <= p.dist * p.dist QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY q.dist DESC, q.id) = 1)", pts=PTS)
 add("affine_nearest", lambda s, d: images.affine(views.img(s, d), MATRIX, (1 << 20, 64), 0, -1.0, ((0, 0), (40, 30))), "SELECT o.y, o.x, round(coalesce(i.value, -1), 6) AS value FROM outp o LEFT JOIN img i ON i.y = CAST(floor(o.y + 0.5 * o.x + 0.25 + 0.5) AS BIGINT) AND i.x = CAST(floor(0.5 * o.x + 1.0 + 0.5) AS BIGINT)", outp="SELECT y, x FROM (SELECT unnest(range(0, 40)) AS y) CROSS JOIN (SELECT unnest(range(0, 30)) AS x)")
 add("affine_linear", lambda s, d: images.affine(views.img(s, d), MATRIX, (1 << 20, 64), 1, -1.0, ((0, 0), (40, 30))), "SELECT y, x, round(CASE WHEN count(*) FILTER (WHERE value IS NULL) > 0 THEN -1 ELSE sum(w * value) END, 6) AS value FROM (SELECT o.y, o.x, i.value, (CASE WHEN dy = 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END) * (CASE WHEN dx = 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END) AS w FROM outp o CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) c(dy, dx) LEFT JOIN img i ON i.y = CAST(floor(py) AS BIGINT) + dy AND i.x = CAST(floor(px) AS BIGINT) + dx) WHERE w > 0 GROUP BY y, x", outp="SELECT y, x, y + 0.5 * x + 0.25 AS py, 0.5 * x + 1.0 AS px FROM (SELECT unnest(range(0, 40)) AS y) CROSS JOIN (SELECT unnest(range(0, 30)) AS x)")
 add("read_coordinates", lambda s, d: images.read_coordinates(views.img(s, d), s.range(500).select("id", (F.col("id") * 3 % 120).alias("y"), (F.col("id") * 7 % 70).alias("x"))), "SELECT p.id, round(coalesce(i.value, 0), 6) AS value FROM (SELECT unnest(range(0, 500)) AS id) p LEFT JOIN img i ON i.y = p.id * 3 % 120 AND i.x = p.id * 7 % 70")
-add("upsample", lambda s, d: images.upsample(views.seg2(s, d).where("y < 50"), 2).select("y", "x", "label"), "SELECT y * 2 + i AS y, x * 2 + j AS x, label FROM seg2 CROSS JOIN (SELECT unnest(range(0, 2)) AS i) CROSS JOIN (SELECT unnest(range(0, 2)) AS j) WHERE y < 50")
+add("upsample", lambda s, d: images.upsample(views.seg2(s, d), 2).select("y", "x", "label"), "SELECT y * 2 + i AS y, x * 2 + j AS x, label FROM seg2 CROSS JOIN (SELECT unnest(range(0, 2)) AS i) CROSS JOIN (SELECT unnest(range(0, 2)) AS j)")
 add("cell_faces", lambda s, d: images.cell_faces(views.seg(s, d)), "SELECT 2 * y + (CASE WHEN axis = 'y' THEN 1 ELSE 0 END) AS y, 2 * x + (CASE WHEN axis = 'x' THEN 1 ELSE 0 END) AS x, u, v FROM seg_e")
 # tiles of a regular grid: every inner corner of four is a junction, every edge one curve
 add("cell_counts", lambda s, d: images.cell_counts(views.seg(s, d)), "SELECT (SELECT count(*) FROM seg a WHERE (y + 1) % 10 = 0 AND (x + 1) % 8 = 0 AND x < 63 AND y < (SELECT max(y) FROM img)) AS n0, (SELECT count(*) FROM (SELECT DISTINCT u, v FROM seg_e)) AS n1, (SELECT max(label) FROM seg) AS n2")
@@ -391,15 +463,17 @@ add("cell_features", lambda s, d: images.cell_features(views.seg(s, d)).drop("ce
 
 # blocked form
 
-FULL = grid.Blocking([0, 0], [500, 64], [100, 24])
+def _full(s, d) -> grid.Blocking:
+    """Blocks over the whole image, whose height the table tells."""
+    return grid.Blocking([0, 0], [views.img(s, d).agg(F.max("y")).first()[0] + 1, 64], [100, 24])
 
 
 def _blocks(s, d):
-    return dense.to_blocks(views.seg(s, d).where("y < 500"), FULL)
+    return dense.to_blocks(views.seg(s, d), _full(s, d))
 
 
-add("dense_region_graph", lambda s, d: dense.region_graph(_blocks(s, d)), "SELECT DISTINCT u, v FROM seg_e WHERE y + (CASE WHEN axis = 'y' THEN 1 ELSE 0 END) < 500")
-add("dense_edge_features", lambda s, d: dense.edge_features(_blocks(s, d)), f"SELECT u, v, {MOM} FROM (SELECT u, v, unnest([vu, vv]) AS value FROM seg_e WHERE y + (CASE WHEN axis = 'y' THEN 1 ELSE 0 END) < 500) GROUP BY u, v")
+add("dense_region_graph", lambda s, d: dense.region_graph(_blocks(s, d)), "SELECT DISTINCT u, v FROM seg_e")
+add("dense_edge_features", lambda s, d: dense.edge_features(_blocks(s, d)), f"SELECT u, v, {MOM} FROM (SELECT u, v, unnest([vu, vv]) AS value FROM seg_e) GROUP BY u, v")
 
 # files: written to the shared folder and read back
 
@@ -429,11 +503,11 @@ def _block_graph_io(s, d):
 
 
 def _two_pass(s, d):
-    i = views.seg(s, d).where("y < 16 and x < 16")
+    i = views.seg(s, d)
     p = grid.offset_pairs(i, [[0, 1], [1, 0]], ("label",)).select("y", "x", "channel", F.when(F.col("a_label") == F.col("b_label"), 1.0).otherwise(-1.0).alias("w"))
     wide = i.select("y", "x").join(p.groupBy("y", "x").pivot("channel", [0, 1]).agg(F.first("w")), ["y", "x"], "left")
     wide = wide.select("y", "x", F.coalesce(F.col("0"), F.lit(-1.0)).alias("a0"), F.coalesce(F.col("1"), F.lit(-1.0)).alias("a1"))
-    out = two_pass(wide, [[0, 1], [1, 0]], grid.Blocking([0, 0], [16, 16], [8, 8]), (1, 1))
+    out = two_pass(wide, [[0, 1], [1, 0]], grid.Blocking([0, 0], [1 << 20, 64], [8, 8]), (1, 1))
     return out.join(i.select("y", "x", F.col("label").alias("region")), ["y", "x"]).groupBy("label").agg(F.min("region").alias("region"), F.countDistinct("region").alias("regions"), F.count("*").alias("n")).drop("label")
 
 
@@ -442,7 +516,7 @@ add("graph_dense_read", _graph_io, "SELECT least(a.i, b.i) AS u, greatest(a.i, b
 add("overlaps_range_read", _overlap_io, "SELECT a, b, cnt FROM seg_ov WHERE a >= 100 AND a < 200")
 add("block_graph_read", _block_graph_io, "SELECT DISTINCT u, v FROM seg_e WHERE ((y + (CASE WHEN axis = 'y' THEN 1 ELSE 0 END)) // 25) * 4 + (x + (CASE WHEN axis = 'x' THEN 1 ELSE 0 END)) // 20 IN (1, 2)")
 add("multiset_labels", lambda s, d: volumes.multiset_labels(OV(s, d).select("a", F.col("b").alias("label"), "cnt"), ["a"]), "SELECT a, b AS label FROM seg_ov QUALIFY row_number() OVER (PARTITION BY a ORDER BY cnt DESC, b) = 1")
-add("two_pass_agglomeration", _two_pass, "SELECT label AS region, 1 AS regions, count(*) AS n FROM seg WHERE y < 16 AND x < 16 GROUP BY label")
+add("two_pass_agglomeration", _two_pass, "SELECT label AS region, 1 AS regions, count(*) AS n FROM seg GROUP BY label")
 
 
 # further operators
@@ -452,12 +526,12 @@ add("pixel_wise_energy", lambda s, d: partition.pixel_wise_energy(views.seg(s, d
 add("two_way_cut", lambda s, d: partition.multicut_energy(views.g_sparse(s, d), solve.per_component(views.g_sparse(s, d), kernels.two_way_cut)), "SELECT round(sum(w), 6) AS energy FROM g_sparse WHERE w < 0")
 add("lifted_ucm_features", lambda s, d: solve.lifted_ucm_features(_positive(s, d), _lifted(s, d), [0.1, 0.9]).select("u", "v", F.size("heights").alias("n")), "SELECT node AS u, target AS v, 2 AS n FROM hops WHERE node < target GROUP BY 1, 2 HAVING min(h) = 2", ns=NODES.format("g_sparse"), sym=SYM.format("g_sparse"), hops=HOPS)
 add("channels_random_stride", lambda s, d: grid.channels_to_edges(views.img(s, d).withColumn("value", F.array("value", "value")), "l1", OFFSETS, (2, 2), seed=3).select("y", "x", "channel", "w"))
-add("seeded_watershed_edges", lambda s, d: images.seeded_watershed(views.img(s, d).where("y < 20"), images.extrema_seeds(views.img(s, d).where("y < 20"), (20, 64)), (20, 64)))
-add("seeded_watershed_nodes", lambda s, d: images.seeded_watershed(views.img(s, d).where("y < 20"), images.extrema_seeds(views.img(s, d).where("y < 20"), (20, 64)), (20, 64), "node_weighted"))
-add("distance_transform", lambda s, d: images.distance_transform(views.vol(s, d).where("y < 30"), 0.2), "SELECT a.z, a.y, a.x, round(sqrt(min((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x))), 6) AS value FROM vol a JOIN vol b ON a.z = b.z AND b.value > 0.2 WHERE a.y < 30 AND b.y < 30 GROUP BY a.z, a.y, a.x")
-add("distance_transform_watershed", lambda s, d: images.distance_transform_watershed(views.img(s, d).where("y < 20"), 0.15, 1.0, (20, 64)))
-CURVE = "SELECT y AS curve, x AS position, x + 0.0 AS cx, value * 10 AS cy FROM img WHERE y < 40"
-add("curve_curvature", lambda s, d: images.curve_curvature(views.img(s, d).where("y < 40").select(F.col("y").alias("curve"), F.col("x").alias("position"), (F.col("value") * 10).alias("y"), (F.col("x") + 0.0).alias("x"))), "SELECT curve, position, round(CASE WHEN len > 0 THEN atan2(ax * by_ - ay * bx, ax * bx + ay * by_) / len ELSE 0 END, 6) AS curvature FROM (SELECT *, (sqrt(ay * ay + ax * ax) + sqrt(by_ * by_ + bx * bx)) / 2 AS len FROM (SELECT curve, position, cy - lag(cy, 2) OVER w AS ay, cx - lag(cx, 2) OVER w AS ax, lead(cy, 2) OVER w - cy AS by_, lead(cx, 2) OVER w - cx AS bx FROM curve_points WINDOW w AS (PARTITION BY curve ORDER BY position)))", curve_points=CURVE)
+add("seeded_watershed_edges", lambda s, d: images.seeded_watershed(views.img(s, d), images.extrema_seeds(views.img(s, d), (1 << 20, 64)), (1 << 20, 64)))
+add("seeded_watershed_nodes", lambda s, d: images.seeded_watershed(views.img(s, d), images.extrema_seeds(views.img(s, d), (1 << 20, 64)), (1 << 20, 64), "node_weighted"))
+add("distance_transform", lambda s, d: images.distance_transform(views.vol(s, d), 0.2), "SELECT a.z, a.y, a.x, round(sqrt(min((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x))), 6) AS value FROM vol a JOIN vol b ON a.z = b.z AND b.value > 0.2 GROUP BY a.z, a.y, a.x")
+add("distance_transform_watershed", lambda s, d: images.distance_transform_watershed(views.img(s, d), 0.15, 1.0, (1 << 20, 64)))
+CURVE = "SELECT y AS curve, x AS position, x + 0.0 AS cx, value * 10 AS cy FROM img"
+add("curve_curvature", lambda s, d: images.curve_curvature(views.img(s, d).select(F.col("y").alias("curve"), F.col("x").alias("position"), (F.col("value") * 10).alias("y"), (F.col("x") + 0.0).alias("x"))), "SELECT curve, position, round(CASE WHEN len > 0 THEN atan2(ax * by_ - ay * bx, ax * bx + ay * by_) / len ELSE 0 END, 6) AS curvature FROM (SELECT *, (sqrt(ay * ay + ax * ax) + sqrt(by_ * by_ + bx * bx)) / 2 AS len FROM (SELECT curve, position, cy - lag(cy, 2) OVER w AS ay, cx - lag(cx, 2) OVER w AS ax, lead(cy, 2) OVER w - cy AS by_, lead(cx, 2) OVER w - cx AS bx FROM curve_points WINDOW w AS (PARTITION BY curve ORDER BY position)))", curve_points=CURVE)
 
 ORACLE_SQL["block_table"] = "SELECT (p * 3 + q) * 3 + r AS block_id, p AS pos0, b0 AS begin0, e0 AS end0, greatest(b0 - 1, 0) AS outer_begin0, least(e0 + 1, 5) AS outer_end0, q AS pos1, b1 AS begin1, e1 AS end1, greatest(b1 - 1, 0) AS outer_begin1, least(e1 + 1, 6) AS outer_end1, r AS pos2, b2 AS begin2, e2 AS end2, greatest(b2 - 1, 0) AS outer_begin2, least(e2 + 1, 7) AS outer_end2 FROM (SELECT p, q, r, p * 3 AS b0, least(p * 3 + 3, 5) AS e0, greatest(q * 3 - 1, 0) AS b1, least(q * 3 + 2, 6) AS e1, r * 3 AS b2, least(r * 3 + 3, 7) AS e2 FROM (SELECT unnest(range(0, 2)) AS p) CROSS JOIN (SELECT unnest(range(0, 3)) AS q) CROSS JOIN (SELECT unnest(range(0, 3)) AS r))"
 ORACLE_SQL["hessian_strongest"] = sql("SELECT y, x, round((yy + xx) / 2 + sqrt(((yy - xx) / 2) * ((yy - xx) / 2) + xy * xy), 6) AS value FROM (SELECT y, x, yy, xx, (coalesce(lead(gx) OVER wy, gx) - coalesce(lag(gx) OVER wy, gx)) / 2 AS xy FROM second WINDOW wy AS (PARTITION BY x ORDER BY y))", second="SELECT y, x, coalesce(lead(value) OVER wy, value) - 2 * value + coalesce(lag(value) OVER wy, value) AS yy, coalesce(lead(value) OVER wx, value) - 2 * value + coalesce(lag(value) OVER wx, value) AS xx, (coalesce(lead(value) OVER wx, value) - coalesce(lag(value) OVER wx, value)) / 2 AS gx FROM img WINDOW wy AS (PARTITION BY x ORDER BY y), wx AS (PARTITION BY y ORDER BY x)")

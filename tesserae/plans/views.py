@@ -63,6 +63,12 @@ def g_tri(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, ["event_type", "h", "d"]).where("u < v").groupBy("u", "v").agg(F.count("*").cast("double").alias("w")).where("w >= 4")
 
 
+def g_cyc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """g_tri with all its cycles, weights of both signs and hardly any ties."""
+    g = g_tri(spark, sf_dir)
+    return g.withColumn("w", F.round(F.col("w") - 4.7 + ((F.col("u") * 31 + F.col("v") * 17) % 101) / 101, 6))
+
+
 def skel(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Orders as skeletons: nodes (skel, node, z, y, x, label) and edges (skel, a, b)."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
@@ -82,6 +88,7 @@ SQL = {
     "g_sparse": "SELECT least(l_partkey * 2, l_suppkey * 2 + 1) AS u, greatest(l_partkey * 2, l_suppkey * 2 + 1) AS v, round(avg(l_extendedprice) / 1000 - 50, 6) AS w FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.09 GROUP BY 1, 2",
     "kinds": "SELECT DISTINCT user_id, event_type, hour(ts) AS h, CAST(ts AS DATE) AS d FROM events",
     "g_tri": "SELECT a.user_id AS u, b.user_id AS v, CAST(count(*) AS DOUBLE) AS w FROM kinds a JOIN kinds b ON a.event_type = b.event_type AND a.h = b.h AND a.d = b.d AND a.user_id < b.user_id GROUP BY 1, 2 HAVING count(*) >= 4",
+    "g_cyc": "SELECT u, v, round(w - 4.7 + ((u * 31 + v * 17) % 101) / 101, 6) AS w FROM g_tri",
     "skel_nodes": "SELECT l_orderkey AS skel, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS node, CAST(l_linenumber AS BIGINT) AS z, l_partkey % 50 AS y, l_suppkey % 50 AS x, l_suppkey % 7 AS label FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)",
     "skel_edges": "SELECT skel, node AS a, node - 1 AS b FROM skel_nodes",
     # contacts between face neighbours

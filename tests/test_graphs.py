@@ -157,3 +157,69 @@ def test_heights_rise_with_the_merge_order():
     e = [(0, 1, 0.1), (1, 2, 0.5), (2, 3, 0.2)]
     h = {(u, v): x[0] for u, v, x in kernels.ucm(e, [0.0], [(0, 1), (2, 3), (0, 3)])}
     assert h[0, 1] < h[2, 3] < h[0, 3]
+
+
+def slow_agglomeration(edges, value, stop, best=min, alone=1):
+    """Join the best pair of clusters again and again; values are computed anew from all edges between two clusters."""
+    groups = {x: {x} for e in edges for x in e[:2]}
+    while len(groups) > alone:
+        pairs = []
+        for a, b in itertools.combinations(sorted(groups), 2):
+            w = [x for u, v, x in edges if (u in groups[a] and v in groups[b]) or (v in groups[a] and u in groups[b])]
+            if w:
+                pairs.append((value(w, len(groups[a]), len(groups[b])), a, b))
+        if not pairs or stop(best(pairs, key=lambda p: p[0])[0]):
+            break
+        _, a, b = best(pairs, key=lambda p: p[0])
+        groups[a] |= groups.pop(b)
+    return {frozenset(g) for g in groups.values()}
+
+
+def clusters(labels):
+    out = {}
+    for x, c in labels.items():
+        out.setdefault(c, set()).add(x)
+    return {frozenset(g) for g in out.values()}
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_rules_on_graphs_with_cycles_against_slow_agglomeration(seed):
+    """Each linkage merges in its own order; the partitions differ between rules on most of these graphs."""
+    e = random_edges(seed, 11, 0.5)
+    values = {"sum": sum, "mean": lambda w: sum(w) / len(w), "max": max, "min": min, "abs_max": lambda w: max(w, key=abs)}
+    for rule, f in values.items():
+        want = slow_agglomeration(e, lambda w, a, b, f=f: f(w), lambda p: p <= 0, max)
+        assert clusters(kernels.gasp(e, rule)) == want, rule
+    assert clusters(kernels.greedy_additive(e)) == slow_agglomeration(e, lambda w, a, b: sum(w), lambda p: p <= 0, max)
+
+
+def test_rules_differ():
+    seen = [[clusters(kernels.gasp(random_edges(s, 11, 0.5), r)) for r in ("sum", "mean", "max", "min", "abs_max")] for s in range(12)]
+    assert all(any(x[i] != x[j] for x in seen) for i, j in itertools.combinations(range(5), 2) if (i, j) != (0, 1))
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_size_regularised_clustering_against_slow_agglomeration(seed):
+    e = random_edges(seed, 10, 0.5, 0.05, 1.0)
+    for left, r in ((3, 0.5), (5, 1.0), (4, 0.0)):
+        want = slow_agglomeration(e, lambda w, a, b, r=r: sum(w) / len(w) * 2 / (1 / a**r + 1 / b**r), lambda p: False, alone=left)
+        assert clusters(kernels.edge_weighted_clustering(e, regularizer=r, stop_nodes=left)) == want
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_watersheds_with_several_seeds_against_flooding(seed):
+    """Both edge watersheds flood along the lightest edge that leaves the flooded part."""
+    e = random_edges(seed, 12, 0.4, 0.0, 1.0)
+    nodes = {x for u, v, _ in e for x in (u, v)}
+    seeds = {x: x + 100 for x in sorted(nodes)[::4]}
+    got = dict(seeds)
+    while True:
+        leaving = [(w, u, v) if u in got else (w, v, u) for u, v, w in e if (u in got) != (v in got)]
+        if not leaving:
+            break
+        _, inside, outside = min(leaving)
+        got[outside] = got[inside]
+    for kernel in (kernels.prim_watershed, kernels.kruskal_watershed):
+        labels = kernel(e, seeds)
+        assert {x: labels[x] for x in got} == got
+    assert len(set(got.values())) > 1
