@@ -5,14 +5,16 @@ that all sets have in common, so members of these prefixes bring all pairs toget
 sets of sizes n and m meet at places i and j of their orders, they share min(n - i, m - j)
 members at most, and need t (n + m) / (1 + t): most chance meetings end there.
 
-Links are wanted only as far as they connect. Each of ROUNDS rounds names a pivot for every
-prefix member, the same for all members of a group of copies, and each set is compared with
-the pivot of another group that it meets most often, where that is about as often as similar
-sets must meet. Then all pairs that still lie in different groups and meet early enough are
-compared, so that no link between groups is missed; a group of copies has become one by then
-and has no such pair left. Rows of a frequent member are dealt into pieces, each pair of which
-is a key of its own, so no task holds a whole one.
-
+Links are wanted only as far as they connect. In each of ROUNDS rounds the members that more
+than HOT sets share name a pivot each, the same for all members of a group of copies, and each
+set is compared with the pivot of another group that it meets most often, where that is about as
+often as similar sets must meet. So a large group of copies becomes one at the cost of a pair a
+set. Then all pairs of different groups that meet early enough are compared, and no link between
+groups is missed: rows of a frequent member meet only rows of other groups than its commonest, and
+are dealt into pieces, each pair of which is a key of its own, so no task holds a whole one.
+Pairs are counted before their sets are fetched: similar sets share a number of prefix members.
+
+With length partitions, a row meets those of its own partition and of the next.
 Tables of sets are joined by sorted merges whatever their size, so plans are alike at all sizes.
 A round's links and groups are written to the shared folder, so a lost executor costs little.
 """
@@ -25,10 +27,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._components import components
+from ._components import SMALL, components
 from ._tables import settle
 
 ROUNDS = 2
+#: Sets that share a prefix member from which it names a pivot; fewer are compared at once.
+HOT = 32
 #: Rows of one prefix member that meet in one task.
 PIECE = 4096
 
@@ -44,17 +48,24 @@ def _can(i: Column, n: Column, j: Column, m: Column, similarity: float) -> Colum
 
 
 def shared_entries(entries: DataFrame, label: str) -> DataFrame:
-    """The rows of entries, a settled table, whose member (h) is in another row too."""
-    twice = entries.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    """The rows of entries, a settled table, whose member (h) is in another row too; c: in how many."""
+    twice = entries.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
     return settle(entries.join(twice.hint("merge"), "h"), f"{label}-prefixes")[0]
 
 
-def like_sets(live: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, label: str, rounds: int = ROUNDS, piece: int = PIECE) -> DataFrame:
+def like_sets(live: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, label: str, rounds: int = ROUNDS, piece: int = PIECE, hot: int = HOT, small: int = SMALL) -> DataFrame:
     """(node, root) of every set with a like one; root is the smallest node reached over links.
 
-    live: (h long, pos int, n int, node long), the prefix members of each set, with place and
-    set size; see shared_entries. sets_of(table of node): (node, s), the whole sets of the nodes asked for.
+    live: (h long, pos int, n int, node long[, part long], c long), the prefix members of each set, with
+    place, set size and length partition; see shared_entries. sets_of(table of node): (node, s), the whole
+    sets of the nodes asked for. small: see components; 0 keeps the whole plan in built-in functions.
     """
+    spread = [-1, 0, 1] if "part" in live.columns else [0]
+    if "part" not in live.columns:
+        live = live.withColumn("part", F.lit(0).cast("long"))
+    need = F.ceil(F.round(F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")), 6))
+    # prefixes of like sets share as many members, whatever their order
+    least = F.least(*(prefix_size(F.col(x), similarity) - F.col(x) + need for x in ("na", "nb")))
 
     def verified(asked: DataFrame) -> DataFrame:
         nodes = asked.select(F.col("a").alias("node")).union(asked.select("b")).distinct()
@@ -64,33 +75,43 @@ def like_sets(live: DataFrame, sets_of: Callable[[DataFrame], DataFrame], simila
         like = shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared) - 1e-9
         return settle(both.where(like).select("a", "b"), f"{label}-links")[0]
 
-    spark = live.sparkSession
-    links, groups = None, spark.createDataFrame([], "node bigint, root bigint")
+    def grouped(rows: DataFrame) -> DataFrame:
+        return rows.join(groups, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+
+    links, groups = None, live.sparkSession.createDataFrame([], "node bigint, root bigint")
+    hot_rows, _ = settle(live.where(F.col("c") > hot), f"{label}-hot")
+    often = hot_rows.groupBy("node").agg(F.count("*").alias("often"))
     for k in range(rounds + 1):
-        held = live.withColumn("comp", F.col("node")) if links is None else live.join(groups, "node", "left").select("h", "pos", "n", "node", F.coalesce("root", "node").alias("comp"))
-        row = F.struct(F.xxhash64("node", F.lit(k)).alias("order"), "node", "comp", "pos", "n")
-        pivots = held.groupBy("h").agg(F.min(row).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo < hi")
+        row = F.struct(F.xxhash64("node", F.lit(k)).alias("order"), F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
+        mixed = grouped(hot_rows).groupBy("h").agg(F.min(row).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h", "p.*").hint("merge")
         if k < rounds:
-            met = held.join(pivots.select("h", "p").hint("merge"), "h").where("comp <> p.comp").where(F.least("n", "p.n") >= F.lit(similarity) * F.greatest("n", "p.n") - 1e-9)
-            often = met.groupBy("node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("m")).agg(F.count("*").alias("times"))
-            # prefixes of like sets share as many members, whatever their order
-            need = F.ceil(F.round(F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("m")), 6))
-            least = F.least(*(prefix_size(F.col(x), similarity) - F.col(x) + need for x in ("n", "m")))
-            best = often.where(2 * F.col("times") >= least).groupBy("node").agg(F.max(F.struct("times", "pivot")).alias("best"))
-            pairs = best.select(F.least("node", "best.pivot").alias("a"), F.greatest("node", "best.pivot").alias("b")).distinct()
+            met = grouped(hot_rows).join(mixed, "h").where("comp <> cb").where(F.least("n", "nb") >= F.lit(similarity) * F.greatest("n", "nb") - 1e-9)
+            times = met.groupBy(F.col("node").alias("a"), F.col("n").alias("na"), "b", "nb").agg(F.count("*").alias("times"))
+            # only hot members are counted here, and not all of them have the same pivot
+            best = times.join(often.withColumnRenamed("node", "a"), "a").where(2 * F.col("times") >= F.least(least, F.col("often")))
+            best = best.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
+            pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
-            parts = held.join(pivots.select("h", F.ceil(F.col("c") / piece).cast("int").alias("parts")).hint("merge"), "h").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+            rare = grouped(live.where(F.col("c") <= hot)).withColumn("major", F.lit(False))
+            held = rare.unionByName(grouped(hot_rows).join(mixed.select("h", "cb"), "h").withColumn("major", F.col("comp") == F.col("cb")).drop("cb"))
+            held = held.withColumn("parts", F.ceil(F.col("c") / piece).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
             every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-            left = parts.select("h", F.col("own").alias("x"), every.alias("y"), F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("pos").alias("i"), F.col("n").alias("na"))
-            right = parts.select("h", every.alias("x"), F.col("own").alias("y"), F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("pos").alias("j"), F.col("n").alias("nb"))
-            met = left.join(right.hint("merge"), ["h", "x", "y"]).where("a < b and ca <> cb").where(_can(F.col("i"), F.col("na"), F.col("j"), F.col("nb"), similarity))
-            pairs = met.select("a", "b").distinct()
+            left = held.where("not major").select("h", "part", F.col("own").alias("x"), every.alias("y"), F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("pos").alias("i"), F.col("n").alias("na"), "c")
+            right = held.select("*", F.explode(F.array(*[F.col("part") + k for k in spread])).alias("at"))
+            right = right.select("h", F.col("at").alias("part"), every.alias("x"), F.col("own").alias("y"), F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("pos").alias("j"), F.col("n").alias("nb"), "major")
+            can = _can(F.col("i"), F.col("na"), F.col("j"), F.col("nb"), similarity)
+            # two rows that are both on the left meet twice; of members of few sets all are counted
+            met = left.join(right.hint("merge"), ["h", "part", "x", "y"]).where("ca <> cb and (major or a < b)").where(can | (F.col("c") <= hot))
+            counted = met.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("times"), F.max(can.cast("int")).alias("can")).where("can = 1")
+            counted = counted.join(often.toDF("a", "oa"), "a", "left").join(often.toDF("b", "ob"), "b", "left")
+            counted = counted.where(F.col("times") + F.least(F.coalesce("oa", F.lit(0)), F.coalesce("ob", F.lit(0))) >= least)
+            pairs = counted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         asked, _ = settle(pairs, f"{label}-pairs")
         if asked.isEmpty():
             continue
         found = verified(asked)
         links = found if links is None else links.union(found)
-        groups, _ = settle(components(links, f"{label}-groups"), f"{label}-roots")
+        groups, _ = settle(components(links, f"{label}-groups", small), f"{label}-roots")
     return groups
 
 

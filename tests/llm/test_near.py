@@ -231,8 +231,10 @@ def test_pieces_of_frequent_members_meet(spark, monkeypatch):
     for a, b in itertools.combinations(sets, 2):
         if len({*sets[a]} & {*sets[b]}) >= 0.5 * len({*sets[a], *sets[b]}):
             root[max(find(a), find(b))] = min(find(a), find(b))
-    for rounds, piece in ((0, 3), (2, 5), (1, 4096)):
-        got = {r.node: r.root for r in _setjoin.like_sets(_setjoin.shared_entries(entries, "test"), lambda nodes: df.join(nodes, "node"), 0.5, "test", rounds, piece).collect()}
+    live = _setjoin.shared_entries(entries, "test")
+    sized = _setjoin.shared_entries(entries.withColumn("part", F.floor(F.log2("n")).cast("long")), "test")
+    for rows, rounds, piece, hot in ((live, 0, 3, 1), (live, 2, 5, 20), (sized, 1, 4096, 1), (sized, 2, 4, 50)):
+        got = {r.node: r.root for r in _setjoin.like_sets(rows, lambda nodes: df.join(nodes, "node"), 0.5, "test", rounds, piece, hot).collect()}
         assert {i: got.get(i, i) for i in sets} == {i: find(i) for i in sets}
 
 
