@@ -53,12 +53,13 @@ def shared_entries(entries: DataFrame, label: str) -> DataFrame:
     return settle(entries.join(twice.hint("merge"), "h"), f"{label}-prefixes")[0]
 
 
-def like_sets(live: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, label: str, rounds: int = ROUNDS, piece: int = PIECE, hot: int = HOT, small: int = SMALL) -> DataFrame:
+def like_sets(live: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, label: str, rounds: int = ROUNDS, piece: int = PIECE, hot: int = HOT, small: int = SMALL, distinct: bool = False) -> DataFrame:
     """(node, root) of every set with a like one; root is the smallest node reached over links.
 
     live: (h long, pos int, n int, node long[, part long], c long), the prefix members of each set, with
     place, set size and length partition; see shared_entries. sets_of(table of node): (node, s), the whole
     sets of the nodes asked for. small: see components; 0 keeps the whole plan in built-in functions.
+    distinct: no two sets are equal, so sets of one size share one member less at most.
     """
     spread = [-1, 0, 1] if "part" in live.columns else [0]
     if "part" not in live.columns:
@@ -100,8 +101,9 @@ def like_sets(live: DataFrame, sets_of: Callable[[DataFrame], DataFrame], simila
             right = held.select("*", F.explode(F.array(*[F.col("part") + k for k in spread])).alias("at"))
             right = right.select("h", F.col("at").alias("part"), every.alias("x"), F.col("own").alias("y"), F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("pos").alias("j"), F.col("n").alias("nb"), "major")
             can = _can(F.col("i"), F.col("na"), F.col("j"), F.col("nb"), similarity)
+            able = need <= F.least("na", "nb") - ((F.col("na") == F.col("nb")) & F.lit(distinct)).cast("int")
             # two rows that are both on the left meet twice; of members of few sets all are counted
-            met = left.join(right.hint("merge"), ["h", "part", "x", "y"]).where("ca <> cb and (major or a < b)").where(can | (F.col("c") <= hot))
+            met = left.join(right.hint("merge"), ["h", "part", "x", "y"]).where("ca <> cb and (major or a < b)").where(able).where(can | (F.col("c") <= hot))
             counted = met.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("times"), F.max(can.cast("int")).alias("can")).where("can = 1")
             counted = counted.join(often.toDF("a", "oa"), "a", "left").join(often.toDF("b", "ob"), "b", "left")
             counted = counted.where(F.col("times") + F.least(F.coalesce("oa", F.lit(0)), F.coalesce("ob", F.lit(0))) >= least)

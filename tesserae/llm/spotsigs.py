@@ -97,7 +97,7 @@ def near_groups(sets: DataFrame, similarity: float = SIMILARITY, id_col: str = "
     part = F.floor(F.log("n") / F.lit(-_log(similarity))).cast("long")
     entries = own.select("node", "n", part.alias("part"), F.posexplode(F.slice("o", F.lit(1), prefix_size(F.col("n"), similarity))).alias("pos", "x"))
     entries = shared_entries(entries.select(F.col("x").cast("long").alias("h"), "pos", "n", "node", "part"), "spots")
-    roots = like_sets(entries, lambda nodes: sets.select(F.col(node_col).alias("node"), s.alias("s")).join(nodes, "node", "left_semi"), similarity, "spots", small=0)
+    roots = like_sets(entries, lambda nodes: sets.select(F.col(node_col).alias("node"), s.alias("s")).join(nodes, "node", "left_semi"), similarity, "spots", small=0, distinct=True)
     named = reps.join(roots.toDF("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = named.groupBy("root").agg(F.min("id").alias("near_group"), F.sum("c").alias("size")).where("size > 1")
     named = named.join(first, "root").select("d1", "d2", "n", "near_group")
