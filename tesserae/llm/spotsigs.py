@@ -24,8 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._setjoin import like_sets, prefix_size, shared_entries
-from ._tables import read, settle
+from ._setjoin import like_sets, prefix_size, shared_entries, sketch
+from ._tables import bucketed, read, settle
 
 #: Anchors: the commonest function words of English, Spanish, French, German.
 ANCHORS = """the of and to in a is that for it as was with be by on this at from are an or not which have had
@@ -93,10 +93,11 @@ def near_groups(sets: DataFrame, similarity: float = SIMILARITY, id_col: str = "
     ordered = F.concat(F.array_except("s", common), F.array_intersect("s", common))
     own = sets.select(F.col(node_col).alias("node"), s.alias("s")).join(reps.select("node"), "node", "left_semi")
     own = own.select("node", F.size("s").alias("n"), ordered.alias("o"))
+    entries = own.select("node", F.posexplode(F.slice("o", F.lit(1), prefix_size(F.col("n"), similarity))).alias("pos", "x"))
     # a set of n members lies in length partition floor(log n / -log t); it meets its own and the next
-    part = F.floor(F.log("n") / F.lit(-_log(similarity))).cast("long")
-    entries = own.select("node", "n", part.alias("part"), F.posexplode(F.slice("o", F.lit(1), prefix_size(F.col("n"), similarity))).alias("pos", "x"))
-    entries = shared_entries(entries.select(F.col("x").cast("long").alias("h"), "pos", "n", "node", "part"), "spots")
+    part = F.floor(F.log(F.size(s)) / F.lit(-_log(similarity))).cast("long")
+    about = sets.select(F.col(node_col).alias("node"), F.size(s).alias("n"), part.alias("part"), *sketch(s))
+    entries = shared_entries(entries.select(F.col("x").cast("long").alias("h"), "pos", "node"), "spots", about)
     roots = like_sets(entries, lambda nodes: sets.select(F.col(node_col).alias("node"), s.alias("s")).join(nodes, "node", "left_semi"), similarity, "spots", small=0, distinct=True)
     named = reps.join(roots.toDF("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = named.groupBy("root").agg(F.min("id").alias("near_group"), F.sum("c").alias("size")).where("size > 1")
@@ -164,7 +165,8 @@ def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_signatures(rows, "edited", "edited_signatures")
     own, changed, following = (F.col(c) for c in ("signatures", "edited_signatures", "next_signatures"))
     rows = rows.select(F.monotonically_increasing_id().alias("node"), "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), own.alias("own"), changed.alias("changed"), likeness(own, changed).alias("near_edited"), likeness(own, following).alias("near_next"))
-    rows, _ = settle(rows, "spots")
+    # dealt by node once, so that sets are found again without a shuffle of their own
+    rows = bucketed(rows, "node", "spots")
     groups, _ = settle(near_groups(rows, set_col="own"), "spots-groups")
     rows = rows.join(groups, "node", "left")
     return rows.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("changed")).alias("edited_fingerprint"), "near_edited", "near_next", F.coalesce("near_group", "doc_id").alias("near_group"))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tesserae.llm import _components, _setjoin, decontaminate, near, simhash, spotsigs
+from tesserae.llm import _components, _setjoin, _tables, decontaminate, near, simhash, spotsigs
 from tesserae.llm._tables import settle
 
 SCHEMA = "doc_id long, text string"
@@ -238,6 +238,57 @@ def test_pieces_of_frequent_members_meet(spark, monkeypatch):
         assert {i: got.get(i, i) for i in sets} == {i: find(i) for i in sets}
 
 
+def test_a_large_group_of_near_copies_costs_few_pairs(spark, monkeypatch):
+    rng = random.Random(12)
+    sets = {i: sorted({*range(41)} - {*rng.sample(range(41), i % 5)} | {1000 + 10 * i + j for j in range(i % 5)}) for i in range(300)}
+    df, _ = settle(spark.createDataFrame(list(sets.items()), "node long, s array<long>"), "test-sets")
+    entries = df.select("node", F.posexplode(F.slice("s", F.lit(1), _setjoin.prefix_size(F.size("s"), 0.8))).alias("pos", "h")).select("h", "pos", "node")
+    about = df.select("node", F.size("s").alias("n"), *_setjoin.sketch(F.col("s")))
+    live = _setjoin.shared_entries(entries, "test", about)
+    asked = []
+
+    def counting(rows, label):
+        out = settle(rows, label)
+        asked.extend([out[0].count()] if label == "test-pairs" else [])
+        return out
+
+    monkeypatch.setattr(_setjoin, "settle", counting)
+    got = {r.node: r.root for r in _setjoin.like_sets(live, lambda nodes: df.join(nodes, "node"), 0.8, "test", small=0).collect()}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    linked = 0
+    for a, b in itertools.combinations(sets, 2):
+        if len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a], *sets[b]}):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+            linked += 1
+    assert {i: got.get(i, i) for i in sets} == {i: find(i) for i in sets}
+    assert linked > 10_000 and sum(asked) < 10 * len(sets)
+
+
+def test_sketches_bound_the_difference_from_below(spark):
+    rng = random.Random(6)
+    sets = [sorted(rng.sample(range(400), rng.randrange(0, 200))) for _ in range(30)]
+    df = spark.createDataFrame([(s,) for s in sets], "s array<int>").select("s", *_setjoin.sketch(F.col("s")))
+    words = [c for c in df.columns if c != "s"]
+    held = [({*r.s}, [r[w] & (1 << 64) - 1 for w in words]) for r in df.collect()]
+    far = [(sum((x ^ y).bit_count() for x, y in zip(p, q, strict=True)), len(a ^ b)) for (a, p), (b, q) in itertools.combinations(held, 2)]
+    assert len(words) == _setjoin.WORDS and all(x <= y and (x - y) % 2 == 0 for x, y in far) and sum(x for x, _ in far) > 10 * len(far)
+
+
+def test_joins_on_the_bucket_column_leave_the_rows_in_place(spark):
+    rows = _tables.bucketed(spark.range(500).select("id", F.md5(F.col("id").cast("string")).alias("m")), "id", "test-dealt")
+    asked, _ = settle(spark.range(0, 500, 7).toDF("id"), "test-asked")
+    found = rows.join(asked.hint("merge"), "id")
+    assert found.count() == 72 and rows.count() == 500
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_components_by_one_task_and_by_rounds(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)]
