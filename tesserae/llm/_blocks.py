@@ -16,7 +16,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import filesystem, settle, small_batches
+from ._tables import filesystem, lean, settle, small_batches
 
 ROW_BITS = 33
 #: (blk, kind, a, b): what a pass is told about a block.
@@ -98,4 +98,4 @@ class Blocks:
                 yield from one(now, parts)
 
         dealt = control.repartition(4 * self.count, "blk").sortWithinPartitions("blk")
-        return dealt.mapInArrow(scan, schema)
+        return dealt.mapInArrow(lean(scan), schema)

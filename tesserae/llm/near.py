@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ._blocks import ROW_BITS, Blocks
 from ._setjoin import like_sets, prefix_bound, shared_entries
+from ._tables import lean
 from ._text import LOWER, SPACE, mix, prefix_sums, range_hash, runs, text_chunks
 from .simhash import first_places
 
@@ -79,7 +80,7 @@ def common(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield told()
 
-    top = rows.mapInArrow(scan, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(OFTEN).toPandas()
+    top = rows.mapInArrow(lean(scan), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(OFTEN).toPandas()
     h, n = top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
     order = np.argsort(h)
     return h[order], n[order]
@@ -108,7 +109,7 @@ def prefixes(rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["h", "pos", "n", "node"])
 
-    return rows.mapInArrow(scan, "h bigint, pos int, n int, node bigint")
+    return rows.mapInArrow(lean(scan), "h bigint, pos int, n int, node bigint")
 
 
 def like_places(store: Blocks, text_at: str, rows: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:

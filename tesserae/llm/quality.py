@@ -22,13 +22,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._fit import Rows, gather, held_out, labelled
-from ._tables import read
+from ._tables import read, release
 from ._text import LETTER, LOWER, SPACE, WORD, prefix_sums, range_hash, runs
 from .toxicity import score
 
 #: Documents of a label that are fitted, at most and in expectation.
 SAMPLE = 4000
 BITS, WIDTH, SIGNS, HIDDEN, SPAN = 15, 48, 6, 32, 2
+#: Tokens whose neighbours are added at a time.
+STEP = 1 << 14
 THRESHOLD = 0.3
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
@@ -87,15 +89,17 @@ class Network:
         index = random_indexes()
         context = np.zeros_like(index)
         flat = rows.flat
-        row = np.repeat(np.arange(len(rows)), rows.offs[1:] - rows.offs[:-1])
-        for at in range(0, flat.size, 1 << 17):
+        row = np.repeat(np.arange(len(rows), dtype=np.int32), rows.offs[1:] - rows.offs[:-1])
+        # sums of signs, so exact whatever the step
+        for at in range(0, flat.size, STEP):
             for k in range(1, SPAN + 1):
-                a, b = flat[at : at + (1 << 17)], flat[at + k : at + k + (1 << 17)]
+                a, b = flat[at : at + STEP], flat[at + k : at + k + STEP]
                 a = a[: b.size]
                 near = row[at : at + b.size] == row[at + k : at + k + b.size]
                 a, b = a[near], b[near]
                 np.add.at(context, a, index[b])
                 np.add.at(context, b, index[a])
+        del row
         norm = np.linalg.norm(context, axis=1, keepdims=True)
         self.vectors = index / np.float32(np.sqrt(SIGNS)) + context / np.maximum(norm, np.float32(1e-6))
         x = np.zeros((len(rows), WIDTH + 1))
@@ -156,7 +160,13 @@ class Network:
 
 def fit(docs: DataFrame, labels: DataFrame, usable: F.Column, sample: int = SAMPLE, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Network:
     features, y = gather(labelled(docs, labels, label_col, usable, sample, id_col, text_col), _features, "int")
-    return Network(Rows(features, np.array(y)))
+    rows = Rows(features, np.array(y))
+    del features
+    release()
+    model = Network(rows)
+    del rows
+    release()
+    return model
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

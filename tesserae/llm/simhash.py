@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ._blocks import Blocks
 from ._components import components, forest
-from ._tables import read, settle, small_batches
+from ._tables import lean, read, settle, small_batches
 
 RADIUS, SHINGLE, SEED, BLOCKS = 3, 3, 42, 4
 #: Home rows that one tile holds at most; larger tiles are split, and every piece meets every other.
@@ -72,7 +72,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], [id_col, "fp"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(scan, f"`{id_col}` {kind}, fp bigint")
+    return df.select(id_col, text_col).mapInArrow(lean(scan), f"`{id_col}` {kind}, fp bigint")
 
 
 def _tile(a: np.ndarray, b: np.ndarray | None, radius: int, side: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._fit import Rows, gather, held_out, labelled
-from ._tables import read, small_batches
+from ._tables import lean, read, small_batches
 from ._text import LETTER, LOWER, prefix_sums, range_hash, runs, text_chunks
 
 #: Documents of a label that are fitted, at most and in expectation.
@@ -146,7 +146,7 @@ def score(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",), text_col:
 
     rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").cast("string").alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(scan, f"{fields}, `{name}` double")
+    return rows.mapInArrow(lean(scan), f"{fields}, `{name}` double")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

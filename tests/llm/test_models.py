@@ -1,6 +1,7 @@
 """Classifiers on held-out rows, and their edge cases."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -134,3 +135,14 @@ def test_very_long_texts(spark):
     for fit in (quality.fit, toxicity.fit):
         assert all(0 <= r.score <= 1 for r in toxicity.score(docs, fit(docs, labels, F.lit(True))).collect())
     assert {r.doc_id for r in language.predict(docs, language.fit(docs, F.lit(True))).collect()} == {1, 2, 3}
+
+
+def test_fitting_quality_holds_little_next_to_its_rows():
+    rng = np.random.default_rng(4)
+    features = [rng.integers(0, 1 << quality.BITS, 1500).astype(np.int32) for _ in range(600)]
+    rows = Rows(features, np.arange(600) % 2)
+    tracemalloc.start()
+    quality.Network(rows, rounds=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 35e6
