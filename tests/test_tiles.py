@@ -85,3 +85,18 @@ def test_image_edges_come_from_the_image_and_not_from_its_shape(spark):
     vox = image(spark, np.random.default_rng(0).normal(size=(5, 4))).withColumn("label", F.lit(1).cast("long"))
     plan = images.image_components(vox, (1 << 40, 4), False)._jdf.queryExecution().analyzed().toString()
     assert "Range" not in plan and grid.grid_edges(spark, (2, 2)).count() == 4
+
+
+def test_thin_filter_broadcasts_nothing(spark):
+    rng = np.random.default_rng(3)
+    v, lab = rng.normal(size=(21, 9)), rng.integers(0, 2, (21, 9))
+    vox = spark.createDataFrame([(y, x, float(v[y, x]), int(lab[y, x])) for y, x in np.ndindex(v.shape)], "y long, x long, value double, label long")
+    df = tiles.same_label_mean(vox, 0.6, 2, size=20)
+    want = {}
+    for y, x in np.ndindex(v.shape):
+        near = [(np.exp(-((p - y) ** 2 + (q - x) ** 2) / 0.72), v[p, q]) for p, q in np.ndindex(v.shape) if max(abs(p - y), abs(q - x)) <= 2 and lab[p, q] == lab[y, x] and v[p, q] > 0]
+        want[y, x] = sum(g * t for g, t in near) / sum(g for g, _ in near) if near else 0.0
+    got = {(r.y, r.x): r.value for r in df.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    plan = images.thin_filter(vox, 0.6)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
